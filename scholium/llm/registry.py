@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from scholium.llm import quality
+from scholium.llm import bpe, quality, simhash
 
 QUERIES = {
+    "op6_bpe": bpe.query,
+    "op8_simhash": simhash.query,
     "op10_quality_rules": quality.query,
 }
 
