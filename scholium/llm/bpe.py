@@ -64,6 +64,7 @@ class Bpe:
         self.token_bytes = {
             i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()
         } | {i: t.encode() for t, i in self.special.items()}
+        self._shown = {i: str(i) for i in self.token_bytes}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._pieces = regex.compile(PIECES)
         self._cache: dict[str, tuple[str, int, bytes]] = {
@@ -113,7 +114,7 @@ class Bpe:
             new_place = np.cumsum(stay) - 1
             ids, owner, ranks = ids[stay], owner[stay], ranks[stay]
             touched = new_place[places]
-            touched = np.unique(np.concatenate((touched, touched[touched > 0] - 1)))
+            touched = np.concatenate((touched, touched[touched > 0] - 1))
             ranks[touched] = _NONE
             touched = touched[touched + 1 < len(ids)]
             touched = touched[owner[touched] == owner[touched + 1]]
@@ -128,13 +129,20 @@ class Bpe:
         pieces = list(map(self._pieces.findall, units))
         flat = list(dict.fromkeys(chain.from_iterable(pieces)))
         ids, counts = self.encode_words([p.encode("utf-8", "surrogatepass") for p in flat])
-        ends = np.cumsum(counts).tolist()
-        listed = ids.tolist()
-        encoded = {p: listed[e - n : e] for p, e, n in zip(flat, ends, counts.tolist())}
-        token_bytes = self.token_bytes
+        listed, ends = ids.tolist(), np.cumsum(counts).tolist()
+        shown, raw = list(map(self._shown.__getitem__, listed)), list(map(self.token_bytes.__getitem__, listed))
+        encoded, start = {}, 0
+        for piece, end in zip(flat, ends):
+            encoded[piece] = (",".join(shown[start:end]), end - start, b"".join(raw[start:end]))
+            start = end
         for unit, parts in zip(units, pieces):
-            own = list(chain.from_iterable(encoded[p] for p in parts))
-            self._cache[unit] = (",".join(map(str, own)), len(own), b"".join(token_bytes[i] for i in own))
+            if len(parts) == 1:
+                self._cache[unit] = encoded[unit]
+            else:
+                own = [encoded[p] for p in parts]
+                self._cache[unit] = (
+                    ",".join([o[0] for o in own]), sum([o[1] for o in own]), b"".join([o[2] for o in own])
+                )
 
     def _split(self, text: str) -> list[str]:
         if self._special is None or not self._special.search(text):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, quality, simhash
+from scholium.llm import bpe, licenses, pii, quality, simhash, tokens
 
 QUERIES = {
+    "op1_pii": pii.query,
+    "op5_license_scan": licenses.query,
     "op6_bpe": bpe.query,
+    "op7_token_counts": tokens.query,
     "op8_simhash": simhash.query,
     "op10_quality_rules": quality.query,
 }
