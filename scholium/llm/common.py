@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,19 +15,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def materialize(df: DataFrame, name: str, **partition: object) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor costs no recomputation of what lies before the table, unlike with a local checkpoint.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no later step reads, and let finished shuffles' files go.
+
+    Spark removes shuffle files once the driver has collected what refers to them, so it is asked to.
+    """
+    jvm = spark.sparkContext._jvm
+    for one in tables:
+        folders = {f.rsplit("/", 1)[0] for f in one.inputFiles()}
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

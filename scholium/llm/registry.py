@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, licenses, pii, quality, simhash, tokens
+from scholium.llm import bpe, debruijn, licenses, pii, quality, simhash, tokens
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_token_counts": tokens.query,
     "op8_simhash": simhash.query,
+    "op9_substring_dedup": debruijn.query,
     "op10_quality_rules": quality.query,
 }
 
