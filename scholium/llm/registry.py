@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, debruijn, licenses, pii, quality, simhash, tokens
+from scholium.llm import bpe, debruijn, licenses, pii, quality, simhash, suffix_dedup, tokens
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op5_license_scan": licenses.query,
     "op6_bpe": bpe.query,
     "op7_token_counts": tokens.query,
