@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scholium.llm import bpe, debruijn, decontaminate, licenses, pii, quality, simhash, suffix_dedup, tokens
+from scholium.llm import bpe, debruijn, decontaminate, html_text, licenses, pii, quality, simhash, suffix_dedup, tokens
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_suffix_dedup": suffix_dedup.query,
+    "op3_html_text": html_text.query,
     "op4_decontaminate": decontaminate.query,
     "op5_license_scan": licenses.query,
     "op6_bpe": bpe.query,
