@@ -25,7 +25,7 @@ _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE_BITS = np.uint64(24)
 _PLACES = np.uint64((1 << 24) - 1)
 #: Tokens in one flat block at most; a longer document runs over several, which overlap by a window less one.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=4)
