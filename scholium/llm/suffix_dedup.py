@@ -159,16 +159,18 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-_FOUND = "doc_id long, s long, w1 long, w2 long, shard int"
+_FOUND = "doc_id long, s long, e long, w1 long, w2 long, shard int"
 
 
 def _search(step: int, limit: int):
     """Suffix arrays of the shards: repeated windows, and the distinct others of shards that share their core.
 
-    A row with shard 0 is a window found repeated. Other rows are a distinct window of a split core, by its
-    hash, for the merge; their doc_id is null where the window needs no verdict.
+    A row with shard 0 is a run of windows found repeated. Other rows are a distinct window of a split core, by
+    its hash, for the merge; their doc_id is null where the window needs no verdict.
     """
 
+    names = ["doc_id", "s", "e", "w1", "w2", "shard"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, limit):
             key, core, part = (rows.column(i).to_numpy() for i in range(3))
@@ -180,12 +182,13 @@ def _search(step: int, limit: int):
             block, suffix = shard.windows(low)
             again = shard.repeated(suffix)
             start = first[block] - (shard.left[block] - (suffix - shard.starts[block]))
-            mine = again & need[block]
-            none = np.zeros(int(mine.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[block[mine]]), pa.array(start[mine]), pa.array(none), pa.array(none), pa.array(none.astype(np.int32))],
-                names=["doc_id", "s", "w1", "w2", "shard"],
-            )
+            mine = np.flatnonzero(again & need[block])
+            if len(mine):
+                head = np.concatenate(([True], (np.diff(mine) > 1) | (np.diff(block[mine]) > 0)))
+                heads, tails = mine[head], mine[np.append(head[1:], True)]
+                none = np.zeros(len(heads), np.int64)
+                columns = [doc[block[heads]], start[heads], start[tails] + 1, none, none, none.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             split = np.flatnonzero(part[block] > 0)
             if not len(split):
                 continue
@@ -203,9 +206,12 @@ def _search(step: int, limit: int):
             hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             wants = need[block[chosen]] & ~again[chosen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[block[chosen]], mask=~wants), pa.array(start[chosen]), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(part[block[chosen]].astype(np.int32))],
-                names=["doc_id", "s", "w1", "w2", "shard"],
-            )
+                [
+                    pa.array(doc[block[chosen]], mask=~wants), pa.array(start[chosen]), pa.array(start[chosen] + 1),
+                    pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(part[block[chosen]].astype(np.int32)),
+                ],
+                names=names,
+            )
 
     return run
 
@@ -217,8 +223,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.rec.fromarrays([rows.column("w1").to_numpy(), rows.column("w2").to_numpy()])
         merged = np.sort(keys)  # a shard holds a window once, so a second copy is another shard's
         hit = pa.array(np.searchsorted(merged, keys, "right") - np.searchsorted(merged, keys, "left") > 1)
-        columns = [rows.column(n).combine_chunks().filter(hit) for n in ("doc_id", "s")]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "s"])
+        columns = [rows.column(n).combine_chunks().filter(hit) for n in ("doc_id", "s", "e")]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "e"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -248,7 +254,7 @@ def _finish(length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, shard_blocks: int = 1 << 15
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, shard_blocks: int = 1 << 13
 ) -> DataFrame:
     """Bytes, bytes and runs removed, and the digest of the kept bytes of each document."""
     spark, base = docs.sparkSession, id_text(docs)
@@ -285,15 +291,15 @@ def remove_repeats(
     part = F.when(shards > 1, 1 + F.pmod(F.xxhash64("doc_id", "first"), shards).cast("int")).otherwise(F.lit(0))
     rows = listed.join(cores, ["key", "core"]).select("key", "core", part.alias("part"), "doc_id", "low", "first", "left", "right", "need")
     found = materialize(
-        rows.repartition("key", "core", "part").sortWithinPartitions("key", "core", "part").mapInArrow(_search(step, 1 << 14), _FOUND),
+        rows.repartition("key", "core", "part").sortWithinPartitions("key", "core", "part").mapInArrow(_search(step, 1 << 12), _FOUND),
         "suffix-found",
     )
     merged = (
-        found.filter("shard > 0").select("doc_id", "s", "w1", "w2", "shard")
-        .repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge, "doc_id long, s long").filter("doc_id is not null")
+        found.filter("shard > 0").select("doc_id", "s", "e", "w1", "w2")
+        .repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge, "doc_id long, s long, e long").filter("doc_id is not null")
     )
-    hits = found.filter("shard = 0").select("doc_id", "s").union(merged)
-    ranges = hits.select("doc_id", F.struct("s", (F.col("s") + 1).alias("e")).alias("r"))
+    hits = found.filter("shard = 0").select("doc_id", "s", "e").union(merged)
+    ranges = hits.select("doc_id", F.struct("s", "e").alias("r"))
     release(spark, listed)
     return finish_carried(passed, ranges, finish, result)
 
