@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,20 +111,25 @@ def best_fuzzy(queries: DataFrame, names: DataFrame, least: float = 60.0) -> Dat
 def greedy_pairs(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:
     """(paper_id, pred, gold, score): each gold name at most once, predictions in order, best score first.
 
-    Names of one paper meet in one group; papers are the block, so groups stay small.
+    The distinct names of one paper meet in one row; papers are the block, so the lists stay small.
     """
 
-    def match(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        names, used, rows = sorted(set(g["name"])), set(), []
-        for one in sorted(set(p["name"])):
-            best = max(((token_sort(one, n), n) for n in names if n not in used), key=lambda x: (x[0], ), default=None)
-            if best and best[0] >= threshold:
-                used.add(best[1])
-                rows.append((key[0], one, best[1], best[0]))
-        return pd.DataFrame(rows, columns=["paper_id", "pred", "gold", "score"])
-
-    left, right = pred.select("paper_id", "name"), gold.select("paper_id", "name")
-    return left.groupBy("paper_id").cogroup(right.groupBy("paper_id")).applyInPandas(match, "paper_id long, pred string, gold string, score double")
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for paper, preds, golds in zip(batch["paper_id"], batch["preds"], batch["golds"]):
+                free = list(golds)
+                for one in preds:
+                    best = max(((token_sort(one, n), n) for n in free), key=lambda x: x[0], default=None)
+                    if best and best[0] >= threshold:
+                        free.remove(best[1])
+                        rows.append((paper, one, best[1], best[0]))
+            yield pd.DataFrame(rows, columns=["paper_id", "pred", "gold", "score"])
+
+    left = pred.groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("preds"))
+    right = gold.groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("golds"))
+    kind = pred.schema["paper_id"].dataType.simpleString()
+    return left.join(right, "paper_id").select("paper_id", "preds", "golds").mapInPandas(match, f"paper_id {kind}, pred string, gold string, score double")
 
 
 def first_fuzzy(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:
