@@ -8,8 +8,9 @@ Within a key the chain budgets are tested before the full Hamming distance.
 
 Rows with equal fingerprints collapse to one class first, so a hot group of copies is one row. A key's bucket
 gives links that connect it rather than all its pairs: each fingerprint is compared with those not yet reached.
-Buckets over ``bucket_limit`` are split again by a further equal segment (three differing bits cannot touch all
-four remaining segments), which ends at seven equal segments and so at 256 members at most.
+Buckets over ``bucket_limit`` are split again: the bits not yet known to be equal are cut in four groups, of which
+three differing bits leave one equal. Each level keeps a quarter fewer open bits, so it ends at four open bits and
+16 members at most.
 
 Defined cases: a null, empty or white-space text has fingerprint zero and is linked like any other. Repeated
 rows with one id share its class; the smallest id reachable names the component. An empty table gives an empty
@@ -28,11 +29,14 @@ from pyspark.sql import functions as F
 
 from scholium.llm.common import id_text, materialize, table
 from scholium.llm.components import components
+from scholium.llm.windows import mix
 
 SEGMENTS, BITS, RADIUS, SHINGLE, SEED = 8, 8, 3, 3, 42
 BUDGETS = np.array([RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)], dtype=np.uint8)
 #: (first segment, skipped segment): the chain's first two segments and two of its next three.
 KEYS = [(i, s) for i in range(SEGMENTS) for s in (2, 3, 4)]
+#: Open bits of a bucket by level: 32, 24, 18, 13, 9, 6, 4.
+LEVELS = 6
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
@@ -79,26 +83,26 @@ def _keys(classes: DataFrame) -> DataFrame:
         mask = 0
         for s in held:
             key = F.shiftleft(key, BITS).bitwiseOR(_segment(s))
-            mask |= 1 << (s % SEGMENTS)
-        keys.append(F.struct(key.alias("key"), F.lit(mask).alias("held")))
+            mask |= 255 << (BITS * (s % SEGMENTS))
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        keys.append(F.struct(key.alias("key"), F.lit(signed).cast("long").alias("held")))
     return classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.held", "fp", "rep")
 
 
-def _split(hot: DataFrame) -> DataFrame:
-    """Each row under one further equal segment for each of those not yet held."""
-    more = F.array(
-        *(
-            F.when(
-                F.col("held").bitwiseAND(F.lit(1 << s)) == 0,
-                F.struct(
-                    F.xxhash64("key", F.lit(s), _segment(s)).alias("key"),
-                    F.col("held").bitwiseOR(F.lit(1 << s)).alias("held"),
-                ),
-            )
-            for s in range(SEGMENTS)
-        )
-    )
-    return hot.select("fp", "rep", F.explode(F.array_compact(more)).alias("k")).select("k.key", "k.held", "fp", "rep")
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row under four finer keys, one for each group of its open bits; ``held`` marks the equal bits."""
+    for batch in batches:
+        key, held, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        fp = fp.view(np.uint64)
+        for mask in np.unique(held):
+            rows = held == mask
+            open_bits = [b for b in range(64) if not (int(mask) >> b) & 1]
+            for n, group in enumerate(np.array_split(open_bits, RADIUS + 1)):
+                part = sum(1 << int(b) for b in group)
+                new = mix(key[rows].view(np.uint64) ^ mix((fp[rows] & np.uint64(part)) + np.uint64(n + 1)))
+                more = np.full(len(new), mask, np.int64) | np.array([part], np.uint64).view(np.int64)
+                columns = [new.view(np.int64), more, fp[rows].view(np.int64), rep[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "held", "fp", "rep"])
 
 
 def _near(one: np.uint64, rest: np.ndarray) -> np.ndarray:
@@ -173,14 +177,15 @@ def links(classes: DataFrame, bucket_limit: int = 1 << 15) -> DataFrame:
     """(u, v) between class representatives that connect the classes ``(fp, rep)`` within the radius."""
     keyed = _keys(classes)
     parts = []
-    for _ in range(SEGMENTS - 5):
+    for _ in range(LEVELS):
         sizes = materialize(
             keyed.groupBy("key").count().filter(F.col("count") > bucket_limit).select("key"), "simhash-hot"
         )
         if sizes.isEmpty():
             break
         parts.append(keyed.join(sizes, "key", "left_anti"))
-        keyed = _split(keyed.join(sizes, "key", "left_semi"))
+        hot = keyed.join(sizes, "key", "left_semi").select("key", "held", "fp", "rep")
+        keyed = hot.mapInArrow(_split, "key long, held long, fp long, rep long")
     parts.append(keyed)
     found = None
     for part in parts:
