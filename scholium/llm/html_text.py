@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from scholium.llm.common import table
 
 TRAIN_PAGES = 500
+#: Weight of the prior counts.
+PRIOR = 10
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -241,6 +243,7 @@ class Model:
             inner = kind in ("para", "heading", "box")
             below[kind, 1, 1], below[kind, 1, 0] = (8, 1) if inner else (0, 4)
             below[kind, 0, 1], below[kind, 0, 0] = (2, 4) if inner else (0, 8)
+        own, below = (Counter({k: PRIOR * n for k, n in c.items()}) for c in (own, below))
         own.update(seen or {})
         below.update(edges or {})
         totals: Counter = Counter()
