@@ -96,6 +96,7 @@ def layout_hash(counts: ColumnOrName) -> Column:
     return F.substring(F.sha1(F.to_json(F.map_from_entries(entries))), 1, 8)
 
 
+#: Fixed value: what counts as an address.
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 
 

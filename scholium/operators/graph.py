@@ -116,12 +116,13 @@ def country_papers(affiliated: DataFrame, institutions: DataFrame) -> DataFrame:
     return pairs.filter("country_a < country_b").groupBy("country_a", "country_b", "year").agg(F.count("*").alias("papers"))
 
 
-def neighborhood(coauthored: DataFrame, center: Column, max_nodes: int = 50, expand: int = 10) -> DataFrame:
+def neighborhood(coauthored: DataFrame, center: Column, max_nodes: int = 50, expand: int = 10, hops: int = 2) -> DataFrame:
     """(hop, author_id, via): the centre, its latest co-authors, and new co-authors of the first ``expand`` of them.
 
     The order is explicit: latest year, then id. Each expanded neighbour has an equal quota of what is left.
     """
-    root = coauthored.sparkSession.range(1).select(center.cast("long").alias("c"))
+    kind = coauthored.schema["a"].dataType
+    root = coauthored.sparkSession.range(1).select(center.cast(kind).alias("c"))
     last = coauthored.groupBy("a", "b").agg(F.max("year").alias("year"))
     first = last.join(root, F.col("a") == F.col("c"), "left_semi").select(F.col("b").alias("author_id"), "year", F.col("a").alias("via"))
     first = first.orderBy(F.desc("year"), "author_id").limit(max_nodes)
@@ -135,11 +136,9 @@ def neighborhood(coauthored: DataFrame, center: Column, max_nodes: int = 50, exp
     turn = Window.partitionBy("via").orderBy(F.desc("year"), "author_id")
     second = second.withColumn("turn", F.row_number().over(turn)).join(F.broadcast(left)).filter("turn <= quota")
     second = second.groupBy("author_id").agg(F.min_by("via", "place").alias("via"))
-    none = F.lit(None).cast("long")
-    return (
-        root.select(F.lit(0).alias("hop"), F.col("c").alias("author_id"), none.alias("via"))
-        .union(first.select(F.lit(1), "author_id", "via")).union(second.select(F.lit(2), "author_id", "via"))
-    )
+    out = root.select(F.lit(0).alias("hop"), F.col("c").alias("author_id"), F.lit(None).cast(kind).alias("via"))
+    out = out.union(first.select(F.lit(1), "author_id", "via"))
+    return out.union(second.select(F.lit(2), "author_id", "via")) if hops > 1 else out
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, quotas: dict[tuple[str, str], int], hops: int = 2, max_nodes: int = 80) -> DataFrame:

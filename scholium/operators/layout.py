@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions.text import emails
 
+#: Headings and marks of the regions.
 BODY = r"(?i)^#+\s+(abstract|introduction|background|related\s+work)\s*$"
 ACKNOWLEDGEMENT = r"(?i)^(?:#+\s*)?(acknowledgements?|acknowledgments?)\s*$"
 STOP = r"(?i)^(references?|bibliography|appendix\b.*|conclusions?)\s*$"

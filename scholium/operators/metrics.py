@@ -209,7 +209,7 @@ def replay(charges: DataFrame, ceiling: int) -> DataFrame:
 
 def ledger(charges: DataFrame, prices: DataFrame, fallback: tuple[float, float], ceiling: float) -> DataFrame:
     """Cost, remaining budget and calls over all models; models without a price pay the fallback."""
-    priced = charges.join(F.broadcast(prices), "model", "left")
+    priced = charges.join(prices, "model", "left")
     cost = F.col("tokens_in") * F.coalesce("price_in", F.lit(fallback[0])) + F.col("tokens_out") * F.coalesce("price_out", F.lit(fallback[1]))
     return priced.agg(F.sum(cost).alias("cost"), F.count("*").alias("calls")).withColumn("remaining", F.lit(ceiling) - F.col("cost"))
 

@@ -26,9 +26,9 @@ def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:
     return first.select(value, F.row_number().over(Window.orderBy("first")).alias("place"))
 
 
-def hinted_order(rows: DataFrame, country: object, key: str) -> DataFrame:
-    """By score, those of the hinted country first."""
-    order = Window.orderBy(F.desc(F.col("country").eqNullSafe(F.lit(country))), F.desc("score"), key)
+def hinted_order(rows: DataFrame, country: object, key: str, query: str) -> DataFrame:
+    """Place of each answer to its ``query``: by score, those of the hinted country first."""
+    order = Window.partitionBy(query).orderBy(F.desc(F.col("country").eqNullSafe(F.lit(country))), F.desc("score"), key)
     return rows.withColumn("place", F.row_number().over(order))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Days that entries of each namespace live.
+#: Days that entries of each namespace live.
 TTL_DAYS = {"ror": 7, "openalex": 3, "s2": 2}
 
 

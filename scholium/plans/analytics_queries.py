@@ -146,12 +146,12 @@ def _(spark, d):
     return t.table(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(7)
 
 
-@query("t06_hinted_order", """SELECT s_suppkey, row_number() OVER (ORDER BY (s_nationkey = 3) DESC, s_acctbal DESC, s_suppkey)::INT AS place FROM supplier""")
+@query("t06_hinted_order", """SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY (s_nationkey = 3) DESC, s_acctbal DESC, s_suppkey)::INT AS place FROM supplier""")
 def _(spark, d):
     from scholium.operators.resolve import hinted_order
 
-    s = t.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("country"), F.col("s_acctbal").alias("score"))
-    return hinted_order(s, 3, "s_suppkey").select("s_suppkey", "place")
+    s = t.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("country"), F.col("s_acctbal").alias("score"), (F.col("s_suppkey") % 4).alias("q"))
+    return hinted_order(s, 3, "s_suppkey", "q").select("s_suppkey", "place")
 
 
 @query("u01_set_operations", sql("""SELECT 'both' AS part, count(*)::BIGINT AS n FROM (SELECT paper_id, name, aff FROM gold INTERSECT SELECT paper_id, name, aff FROM pred)

@@ -51,10 +51,10 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 def read_work_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, corrupt lines); blank lines are skipped and a bad one does not stop the rest."""
     schema = StructType.fromDDL(WORK_ITEM).add("_bad", "string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # a query on the corrupt column alone is not allowed on raw JSON, so both keep the item columns beside it
-    bad = rows.filter("_bad is not null and canonical_paper is null")
-    return rows.filter("_bad is null").drop("_bad"), bad.select("canonical_paper", F.col("_bad").alias("line")).select("line")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"), "value")
+    good = F.col("x._bad").isNull() & F.col("x").isNotNull()
+    return parsed.filter(good).select("x.*").drop("_bad"), parsed.filter(~good).select(F.col("value").alias("line"))
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
