@@ -82,9 +82,10 @@ def pieces(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> DataFrame:
 def _edges(cand: DataFrame) -> DataFrame:
     """One row per distinct edge: its source (first document and place), and whether it repeats."""
     return cand.groupBy("h", "d").agg(
-        F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last"), F.first("n").alias("n")
+        F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last"), F.first("n").alias("n"),
+        F.count("*").alias("c"),
     ).select(
-        "h", "d", "n", F.col("source.doc_id").alias("src"), F.col("source.start").alias("at"),
+        "h", "d", "n", "c", F.col("source.doc_id").alias("src"), F.col("source.start").alias("at"),
         (F.col("last") > F.col("source.doc_id")).alias("repeated"),
     )
 
@@ -187,10 +188,12 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> Da
     spans = paths.select(
         "doc_id", F.explode(F.when(F.col("e") - F.col("s") == F.col("covered"), whole).otherwise(F.col("parts"))).alias("r")
     )
-    # edges that share a minimizer and differ: their windows, one by one
-    several = edges.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    wanted = edges.join(materialize(several, "debruijn-several"), "h", "left_semi").select(
-        F.col("src").alias("doc_id"), F.struct("at", "n").alias("w")
+    # edges that share a minimizer and differ: their windows in the source, wherever they stand there, one by one
+    several = materialize(edges.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "debruijn-several")
+    mixed = edges.join(several, "h", "left_semi")
+    further = cand.join(materialize(mixed.filter("c > 1").select("h", "d", "src", "at"), "debruijn-several"), ["h", "d"])
+    wanted = mixed.select(F.col("src").alias("doc_id"), F.struct("at", "n").alias("w")).union(
+        further.filter("doc_id = src and start <> at").select("doc_id", F.struct(F.col("start").alias("at"), "n").alias("w"))
     )
     result = "n_words long, n_removed long, kept_sha256 string"
     finish = _finish(length)
