@@ -154,6 +154,15 @@ def test_repeated_words(spark, seed):
     assert any(n for _, n, _ in got.values())
 
 
+def test_passage_that_repeats_within_a_document(spark):
+    """Both places lose what a document of smaller id holds in part."""
+    rnd = random.Random(8)
+    passage = [f"p{rnd.randrange(500)}" for _ in range(160)]
+    texts = [" ".join(passage[20:100]), " ".join([*passage, *(f"q{i}" for i in range(30)), *passage]), " ".join(passage[60:])]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.remove_repeats(frame(spark, texts)).collect()}
+    assert got == plain_word_removal(enumerate(texts), 50) and got[1][1] == 160
+
+
 def test_repeated_words_of_short_windows(spark):
     """Small alphabets make branches, loops and equal seeds."""
     rnd = random.Random(9)
