@@ -36,8 +36,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Proposals beyond the base patterns.
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]{1,63})+")
-_LOCAL_PHONE = re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?:password|passwd|secret|token|api_key)=[^\s]{6,128}|\bAKIA[0-9A-Z]{16}\b")
+_LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
+_ONE_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+_SECRET = re.compile(r"(?:password|passwd|secret|token|api_key) ?= ?\"?[^\s\"]{6,128}|\bAKIA[0-9A-Z]{16}\b")
 
 #: The words each labeler knows.
 CONTEXT = {
@@ -154,6 +155,10 @@ def propose(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int
                 taken.append((s, e))
                 out.append((KINDS.index(kind), s, e, pattern_code(kind, _votes(kind, text, s, e, True)), False))
 
+    # a number that its neighbours' digits were read into
+    for s, e, ok in matches["card"]:
+        if not ok:
+            more("card", (m for m in _ONE_CARD.finditer(text, s, e) if luhn(m[0])))
     if "at)" in text or "at]" in text:
         more("email", _SPELLED.finditer(text))
     if _DIGIT.search(text):
