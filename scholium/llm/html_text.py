@@ -105,9 +105,9 @@ def _class_kind(name: str, attrs: str) -> str:
 def parse(page: str) -> list[Node]:
     """The page's nodes in order; a parent comes before its children. Inline elements add to the node around."""
     nodes = [Node(-1, "#root", "box", "none", "none")]
-    # open elements: (name, node they write to, whether they opened it)
-    stack: list[tuple[str, int, bool]] = [("#root", 0, True)]
-    links = block = at = 0
+    # open elements: (name, node they write to, whether they opened it, the block to go on with afterwards or -1)
+    stack: list[tuple[str, int, bool, int]] = [("#root", 0, True, -1)]
+    links = block = blocks = at = 0
 
     def write(text: str) -> None:
         if not text:
@@ -116,11 +116,15 @@ def parse(page: str) -> list[Node]:
         own.runs.append((block, text))
 
     def close(depth: int) -> None:
-        nonlocal block, links
-        for name, _, opened in stack[depth:]:
-            block += opened
+        nonlocal block, blocks, links
+        while len(stack) > depth:
+            name, _, opened, back = stack.pop()
             links -= name == "a"
-        del stack[depth:]
+            if back >= 0:
+                block = back
+            elif opened:
+                blocks += 1
+                block = blocks
 
     def weigh(text: str) -> None:
         own = nodes[stack[-1][1]]
@@ -167,7 +171,7 @@ def parse(page: str) -> list[Node]:
                     break
         classes = _class_kind(name, m["attrs"])
         opened = kind is not None or classes == "bad"
-        own = stack[-1][1]
+        own, back = stack[-1][1], block if kind is None and opened else -1
         if opened:
             above = nodes[own].section
             kind = kind or "box"
@@ -179,11 +183,14 @@ def parse(page: str) -> list[Node]:
                 section = above
             nodes.append(Node(own, name, kind, classes, section))
             own = len(nodes) - 1
-            block += 1
+            blocks += 1
+            block = blocks
         if name in VOID:
-            block += opened
+            if opened:
+                blocks += 1
+                block = blocks if back < 0 else back
             continue
-        stack.append((name, own, opened))
+        stack.append((name, own, opened, back))
         links += name == "a"
         if name in RAW:
             end = re.compile(f"(?i)</{re.escape(name)}(?=[\\s/>]|\\Z)").search(page, at)
