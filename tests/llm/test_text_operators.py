@@ -249,6 +249,11 @@ def test_main_text_of_a_page():
     assert html_text.extract(PAGE.replace("<article><h1>", '<div class="post-content"><h1>'), model) == TEXT
 
 
+def test_marked_inline_elements_do_not_break_a_block():
+    page = '<article><p>Last <span class="ad">ADV</span> para of the whole text.</p><p>Next one of it.</p></article>'
+    assert html_text.extract(page, html_text.Model()) == "Last para of the whole text.\nNext one of it."
+
+
 def reference_text(page):
     import html
 
