@@ -5,13 +5,12 @@ Every stage but the last returns the columns of ``documents``; each works on all
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scholium.llm import bpe, decontaminate, pii, quality, simhash
-from scholium.llm.common import shared_dir, table
+from scholium.llm.common import new_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,7 +55,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         kept.write.parquet(f"{folder}/{name}")

@@ -10,18 +10,27 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a folder beside the warehouse."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in a folder of its own, which goes when the application ends; only existing ones can be marked."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor costs no recomputation of what lies before the table, unlike with a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

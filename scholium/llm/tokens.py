@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm.bpe import byte_characters, default_path
-from scholium.llm.common import id_text, materialize, shared_dir, table
+from scholium.llm.common import id_text, materialize, new_path, table
 
 LIMIT = 512
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -104,7 +103,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = N
     """Bytes and tokens of each text. ``cache`` is a folder shared by all machines; without one a new one is made."""
     spark = docs.sparkSession
     path = path or default_path()
-    cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = cache or new_path(spark, "token-cache")
     version = tokenizer_version(path)
     keyed = id_text(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
     sizes = materialize(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
