@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or beside the warehouse where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``, or beside the warehouse; it goes when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared}/{name}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)  # only existing paths can be marked
+    return f"{folder.toString()}/{name}"
