@@ -149,12 +149,13 @@ def subgraph(edges: DataFrame, seeds: DataFrame, quotas: dict[tuple[str, str], i
     """
     allowed = F.create_map(*(F.lit(x) for (a, b), q in quotas.items() for x in (f"{a}>{b}", q)))
     turn = Window.partitionBy("src_kind", "src", "dst_kind").orderBy("ord", "dst")
-    quota = F.try_element_at(allowed, F.concat("src_kind", F.lit(">"), "dst_kind"))
-    walked = edges.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= F.coalesce(quota, F.lit(0)))
+    quota = F.coalesce(F.try_element_at(allowed, F.concat("src_kind", F.lit(">"), "dst_kind")), F.lit(0))
     seen = seeds.select(F.lit(0).alias("hop"), "kind", "id")
     front = seeds
     for hop in range(1, hops + 1):
-        near = walked.join(front.select(F.col("kind").alias("src_kind"), F.col("id").alias("src")), ["src_kind", "src"], "left_semi")
+        # only the edges of the frontier are ranked
+        near = edges.filter(quota > 0).join(front.select(F.col("kind").alias("src_kind"), F.col("id").alias("src")), ["src_kind", "src"], "left_semi")
+        near = near.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= quota)
         front = near.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id")).distinct().join(seen, ["kind", "id"], "left_anti")
         seen = seen.union(front.select(F.lit(hop).alias("hop"), "kind", "id"))
     return seen.orderBy("hop", "kind", "id").limit(max_nodes)
