@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> Da
     )
     result = "n_words long, n_removed long, kept_sha256 string"
     finish = _finish(length)
-    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "debruijn-passed")
+    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "debruijn-passed", "zstd")
     release(spark, cand, edges, occurrences, heads)
     carried = passed.filter("wanted is not null").select("doc_id", "text", "wanted")
     windows = materialize(carried.mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, pos long"), "debruijn-windows")

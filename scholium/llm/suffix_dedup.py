@@ -279,7 +279,7 @@ def remove_repeats(
     )
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     finish = _finish(length)
-    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "suffix-passed")
+    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "suffix-passed", "zstd")
     release(spark, cand, distinct, again)
     carried = passed.filter("wanted is not null").select("doc_id", "text", "wanted")
     listed = materialize(carried.mapInArrow(_blocks(length, step), _BLOCKS), "suffix-blocks")
