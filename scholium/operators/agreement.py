@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kappa(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def kappa(pairs: DataFrame, by: list[str] | None = None, digits: int | None = 9) -> DataFrame:
     """Cohen's kappa of (a, b), per group; one category or chance agreement of 1 gives 1, no pairs no row.
 
     The confusion matrix is counted first; all else runs on its few cells.
@@ -21,7 +21,7 @@ def kappa(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     both = seen.join(chance, by, "left") if by else seen.join(F.broadcast(chance))
     po, pe = F.col("o") / F.col("n"), F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n"))
     value = F.when(F.abs(1 - pe) < 1e-12, 1.0).otherwise((po - pe) / (1 - pe))
-    return both.filter("n > 0").select(*by, "n", F.round(value, 9).alias("kappa"))
+    return both.filter("n > 0").select(*by, "n", (value if digits is None else F.round(value, digits)).alias("kappa"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -78,9 +78,10 @@ def judge_grid(scores: DataFrame) -> DataFrame:
     pairs = scores.select("unit", "system", F.col("judge").alias("j1"), F.col("score").alias("a")).join(
         scores.select("unit", "system", F.col("judge").alias("j2"), F.col("score").alias("b")), ["unit", "system"]
     ).filter("j1 < j2")
-    per = kappa(pairs, ["j1", "j2", "system"])
-    mean = per.groupBy("j1", "j2").agg(F.sum("n").alias("n"), F.round(F.avg("kappa"), 9).alias("kappa"))
-    return per.union(mean.select("j1", "j2", F.lit("all").alias("system"), "n", "kappa"))
+    per = kappa(pairs, ["j1", "j2", "system"], None)
+    mean = per.groupBy("j1", "j2").agg(F.sum("n").alias("n"), F.avg("kappa").alias("kappa"))
+    both = per.union(mean.select("j1", "j2", F.lit("all").alias("system"), "n", "kappa"))
+    return both.withColumn("kappa", F.round("kappa", 9))
 
 
 def judge_bias(scores: DataFrame) -> DataFrame:

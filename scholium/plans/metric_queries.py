@@ -182,8 +182,8 @@ def _(spark, d):
 
 @query("a33_judge_grid", sql(_LONG + ", pp AS (SELECT x.judge AS j1, y.judge AS j2, x.system, x.score AS a, y.score AS b FROM jj x JOIN jj y ON x.unit = y.unit AND x.judge < y.judge)"
     + _K.format(s="j1, j2, system,", rs="r.j1, r.j2, r.system,", f="pp", j="AND r.system = c.system AND r.j1 = c.j1 AND r.j2 = c.j2")
-    + """, r AS (SELECT j1, j2, system, n::BIGINT AS n, round(CASE WHEN abs(1 - coalesce(e, 0) / (n * n)) < 1e-12 THEN 1.0 ELSE (o / n - coalesce(e, 0) / (n * n)) / (1 - coalesce(e, 0) / (n * n)) END, 9) AS kappa FROM s LEFT JOIN e USING (j1, j2, system))
-SELECT * FROM r UNION ALL SELECT j1, j2, 'all', sum(n)::BIGINT, round(avg(kappa), 9) FROM r GROUP BY ALL"""))
+    + """, r AS (SELECT j1, j2, system, n::BIGINT AS n, (CASE WHEN abs(1 - coalesce(e, 0) / (n * n)) < 1e-12 THEN 1.0 ELSE (o / n - coalesce(e, 0) / (n * n)) / (1 - coalesce(e, 0) / (n * n)) END)::DOUBLE AS kappa FROM s LEFT JOIN e USING (j1, j2, system))
+SELECT j1, j2, system, n, round(kappa, 9) AS kappa FROM r UNION ALL SELECT j1, j2, 'all', sum(n)::BIGINT, round(avg(kappa), 9) FROM r GROUP BY ALL"""))
 def _(spark, d):
     return g.judge_grid(_long(spark, d))
 
