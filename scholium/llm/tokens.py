@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -57,6 +58,16 @@ def _fast(path: str, pattern: str) -> Callable[[str], int] | None:
     return lambda text: len(encoding.encode_ordinary(text))
 
 
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts, by the library that the file's ending names."""
@@ -65,19 +76,15 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)] if texts else []
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     fast = _fast(path, public_tokenizers.PATTERN)
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    library = None
 
     def count(texts: list[str]) -> list[int]:
+        nonlocal library
         out = [0] * len(texts)
         slow = []
         for i, text in enumerate(texts):
@@ -85,8 +92,10 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
                 out[i] = fast(text)
             else:
                 slow.append(i)
-        for i, found in zip(slow, library.encode_batch([texts[i] for i in slow], add_special_tokens=False)):
-            out[i] = len(found.ids)
+        if slow:
+            library = library or _library(path)  # loaded where a text needs it
+            for i, found in zip(slow, library.encode_batch([texts[i] for i in slow], add_special_tokens=False)):
+                out[i] = len(found.ids)
         return out
 
     return count
