@@ -1,10 +1,12 @@
 """Licence scans through a positional index of rare words.
 
-Templates are short licence statements. The index holds, for each of their words, its places in them. Of each
-file the licence words with the highest inverse document frequency (counted over the whole corpus) are looked
-up; every pair of a word's place in the file and in a template names the start at which that template would
-lie. Starts named by several rare words are candidates; there the template's mandatory phrases must stand, and
-the share of its words found in place is its score.
+Templates are short licence statements. The index holds, for each template, the places of its rare words. A
+template is laid where at least ``LEAST_VOTES`` of its rare words stand in place, so one of them is among all
+but ``LEAST_VOTES - 1`` of its rare places: those whose words have the highest inverse document frequency
+(counted over the whole corpus) are looked up in the file, and each of their sights names the start at which the
+template would lie. There the rare words are counted, the template's mandatory phrases must stand, and the share
+of its words found in place is its score. The frequencies only order the lookups; no start that could match is
+left out, so a text's labels do not depend on the corpus around it.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Repeated rows are scanned row by row.
 An empty table gives an empty result; other columns are ignored. Texts are scanned whole.
@@ -13,7 +15,7 @@ An empty table gives an empty result; other columns are ignored. Texts are scann
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -73,7 +75,7 @@ COMMON = frozenset(
     "the of to in a is and are or by for from with this any under use free form forms without subject terms version person "
     "sa nc nd v 0 1 2 3 4 charge copy source granted permitted".split()
 )
-RARE_WORDS, LEAST_VOTES, LEAST_SCORE = 6, 2, 0.6
+LEAST_VOTES, LEAST_SCORE = 2, 0.6
 _CLEAN = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b >= 0x80 else 32 for b in range(256))
 
 
@@ -97,10 +99,12 @@ class Index:
         self.number = {w.encode(): n for n, w in enumerate(self.vocabulary)}
         self.anchors = frozenset(w.encode() for w in self.vocabulary if w not in COMMON)
         self.rare = {n for w, n in self.number.items() if w in self.anchors}
-        self.postings = defaultdict(list)
-        for t, tokens in enumerate(self.tokens):
-            for at, w in enumerate(tokens):
-                self.postings[self.number[w.encode()]].append((t, at))
+        self.ids = [self._ids(tokens) for tokens in self.tokens]
+        self.phrase_ids = [[self._ids(p) for p in ps] for ps in self.phrases]
+        self.mandatory = [frozenset(w for p in ps for w in p) for ps in self.phrase_ids]
+        #: Of each template the (place, word) of its rare words, and how many of them must stand in place.
+        self.rare_places = [[(at, w) for at, w in enumerate(ids) if w in self.rare] for ids in self.ids]
+        self.least = [min(LEAST_VOTES, len(places)) for places in self.rare_places]
 
     def _ids(self, phrase: Sequence[str]) -> list[int]:
         return [self.number[w.encode()] for w in phrase]
@@ -118,27 +122,26 @@ class Index:
 
     def matches(self, hits: Mapping[int, int], idf: Mapping[int, float]) -> dict[str, float]:
         """Best score of each label whose template stands in the file."""
-        present = sorted({w for w in hits.values() if w in self.rare}, key=lambda w: (-idf.get(w, 0.0), w))
-        looked_up = set(present[:RARE_WORDS])
-        votes: Counter[tuple[int, int]] = Counter()
+        by_word = defaultdict(list)
         for at, w in hits.items():
-            if w in looked_up:
-                for t, place in self.postings[w]:
-                    votes[t, at - place] += 1
+            by_word[w].append(at)
         best: dict[str, float] = {}
-        for (t, start), n in votes.items():
-            tokens = self._ids(self.tokens[t])
-            if n < min(LEAST_VOTES, sum(w in self.rare for w in tokens)):
-                continue
-            span = range(start, start + len(tokens))
-            if not all(
-                any(all(hits.get(at + k) == w for k, w in enumerate(self._ids(p))) for at in span) for p in self.phrases[t]
-            ):
+        for t, tokens in enumerate(self.ids):
+            if not self.mandatory[t] <= by_word.keys():
                 continue
-            score = sum(hits.get(start + k) == w for k, w in enumerate(tokens)) / len(tokens)
-            if score >= LEAST_SCORE:
-                label = self.templates[t].label
-                best[label] = max(best.get(label, 0.0), score)
+            places, least = self.rare_places[t], self.least[t]
+            order = sorted(places, key=lambda x: (-idf.get(x[1], math.inf), x))
+            looked_up = order[: len(order) - least + 1]
+            for start in {at - place for place, w in looked_up for at in by_word.get(w, ())}:
+                if sum(hits.get(start + place) == w for place, w in places) < least:
+                    continue
+                span = range(start, start + len(tokens))
+                if not all(any(all(hits.get(at + k) == w for k, w in enumerate(p)) for at in span) for p in self.phrase_ids[t]):
+                    continue
+                score = sum(hits.get(start + k) == w for k, w in enumerate(tokens)) / len(tokens)
+                if score >= LEAST_SCORE:
+                    label = self.templates[t].label
+                    best[label] = max(best.get(label, 0.0), score)
         return best
 
 
