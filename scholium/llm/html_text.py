@@ -132,9 +132,7 @@ def parse(page: str) -> list[Node]:
         own.chars += n
         own.linked += n if links > 0 else 0
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(page, at):  # goes on behind what was read, so nothing inside a raw element is a tag
         if m.start() > at:
             text = page[at : m.start()]
             write(text)
