@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,16 +155,24 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def bootstrap(scores: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """(key, mean, low, high): percentile interval of the mean per system, from a bounded number of papers each."""
+    """(key, mean, low, high): percentile interval of the mean per system.
+
+    Equal values of a system are counted first, and a round draws how often each distinct value comes up, which
+    is the same as drawing its rows one by one; so a system's task holds its distinct values, not its papers.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(pdf[value].tolist())
-        rng, n = random.Random(seed), len(values)
-        means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(rounds))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [sum(values) / n], "low": [means[int(0.025 * rounds)]], "high": [means[int(0.975 * rounds)]]})
+        pdf = pdf.sort_values(value)
+        values, counts = pdf[value].to_numpy(float), pdf["n"].to_numpy()
+        rng, n = np.random.default_rng(seed), int(counts.sum())
+        step = max(1, 1_000_000 // len(values))
+        drawn = [rng.multinomial(n, counts / n, size=min(step, rounds - at)) @ values / n for at in range(0, rounds, step)]
+        means = np.sort(np.concatenate(drawn))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [values @ counts / n], "low": [means[int(0.025 * rounds)]], "high": [means[int(0.975 * rounds)]]})
 
     kind = scores.schema[key].dataType.simpleString()
-    return scores.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
+    counted = scores.groupBy(key, value).agg(F.count("*").alias("n"))
+    return counted.groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
 
 
 def hypothesis(delta: Column, low: Column, threshold: float) -> Column:
