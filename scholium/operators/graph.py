@@ -170,3 +170,28 @@ def describe(kind: str) -> Column:
         "Venue": F.format_string("Venue | key=%s", "venue_key"),
     }
     return forms[kind]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges(u, v)``; component is the smallest node reachable.
+
+    Large and small stars alternate: each node's larger neighbours, then the node and its smaller ones, are linked
+    to the smallest of them. The rounds end when they change no edge; their number grows with the logarithm of the
+    longest path.
+    """
+    durable = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    kept = (lambda df: df.checkpoint()) if durable else (lambda df: df.cache())
+    now, before = kept(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()), None
+    while True:
+        state = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        both = mirrored(now, "u", "v")
+        large = both.join(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")), "u").filter("v > u and least <> v")
+        large = kept(large.select(F.col("least").alias("u"), "v").distinct())
+        down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        lowest = down.groupBy("u").agg(F.min("v").alias("least"))
+        small = down.join(lowest, "u").select(F.col("least").alias("u"), "v").union(lowest.select(F.col("least").alias("u"), F.col("u").alias("v")))
+        now = kept(small.filter("u <> v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("u").alias("component")).union(now.select(F.col("v").alias("node"), F.col("u").alias("component"))).distinct()

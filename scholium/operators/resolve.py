@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions.fuzzy import jaro_winkler, token_sort, token_sort_ratio
 from scholium.functions.text import norm_name
+from scholium.operators.graph import components
 
 
 def union_specialists(parts: dict[str, DataFrame]) -> DataFrame:
@@ -166,27 +167,15 @@ def either_contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def clusters(records: DataFrame, threshold: float = 90.0, rounds: int = 20) -> DataFrame:
+def clusters(records: DataFrame, threshold: float = 90.0) -> DataFrame:
     """(record_id, cluster_id): records of a block linked by similar names, closed under links.
 
-    Equal names of a block are one node first. Labels move to the smallest neighbour until none changes.
+    Equal names of a block are one node first; what their links connect, however long the chain, is one cluster.
     """
     nodes = records.groupBy("block", norm_name("name").alias("key")).agg(F.min("record_id").alias("node"))
     pairs = nodes.select("block", "key", "node").join(nodes.select("block", F.col("key").alias("other"), F.col("node").alias("v")), "block").filter("node < v")
     links = pairs.filter(token_sort_ratio("key", "other") >= threshold).select(F.col("node").alias("u"), "v")
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = nodes.select("node", F.col("node").alias("label"))
-    both = both.checkpoint() if records.sparkSession.conf.get("spark.checkpoint.dir", None) else both.cache()
-    before = None
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        labels = labels.join(near, labels["node"] == near["u"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"))
-        if records.sparkSession.conf.get("spark.checkpoint.dir", None):
-            labels = labels.checkpoint()
-        total = labels.agg(F.sum("label")).first()[0]
-        if total == before:
-            break
-        before = total
+    labels = nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
     keyed = records.withColumn("key", norm_name("name"))
     return keyed.join(nodes, ["block", "key"]).join(labels, "node").select("record_id", F.col("label").alias("cluster_id"))
 
