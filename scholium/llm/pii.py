@@ -38,7 +38,7 @@ _DIGIT = re.compile("[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]{1,63})+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 _ONE_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
-_SECRET = re.compile(r"(?:password|passwd|secret|token|api_key) ?= ?\"?[^\s\"]{6,128}|\bAKIA[0-9A-Z]{16}\b")
+_SECRET = re.compile(r"(?:password|passwd|secret|token|api_key) ?= ?\"?[^\s\"]{6,}|\bAKIA[0-9A-Z]{16}\b")
 
 #: The words each labeler knows.
 CONTEXT = {
