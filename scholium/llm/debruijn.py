@@ -1,18 +1,25 @@
 """Repeated word passages through a compacted De Bruijn graph.
 
-Windows of ``length`` words are the graph's k-mers. Consecutive windows with one minimizer form a piece, an
-edge between the (length - 1)-word nodes at its ends; edges are keyed by two hashes of all their words, so equal
-stretches of any documents become one edge, whose source coordinates are its first occurrence. Edges whose
-minimizer occurs in one document only hold no repeat and leave at once. Among repeated edges, paths without
-branches whose source coordinates continue one another are compacted by joins with pointer doubling, and an
-occurrence of a path counts as one span where its pieces cover the path's coordinates without a gap. Edges that
-share a minimizer and differ agree in part of their windows only: those windows are compared one by one.
+Windows of ``length`` words are the graph's k-mers and its edges; the nodes lie between consecutive ones. An edge
+is named by its source coordinate, the first place (smallest document) where its words stand. Edges that only ever
+stand in one document hold no repeat and leave at once: their minimizers are not shared.
 
-Hot passages need no special care: equal pieces collapse in a pre-aggregated group-by, and no pairs are made.
+Compaction has two levels. Within a document, consecutive k-mers under one minimizer are one run, keyed by two
+hashes of all their words, so equal runs of any documents meet at once. Runs that share a minimizer and differ are
+opened into their k-mers, whose own first places cut them anew into runs with continuous source coordinates. Across
+documents, a run points to its predecessor where no occurrence of either enters, leaves, begins or ends between
+them, and joins double the pointers until every run knows the head of its unbranched path. A path has one source
+coordinate and one length, and both decide what goes: an occurrence of the path's head in a later document removes
+the whole path there. Source coordinates then verify each such span: the words at the source place and the words
+removed must have equal digests, else the span is not removed.
+
+Hot passages need no special care: equal runs collapse in a pre-aggregated group-by, and no pairs are made.
 
 Defined cases: a null, empty or white-space text has no words and nothing removed, and its kept text is empty.
-A text shorter than a window stays whole. Rows that repeat an id are one document. A row without an id stays
-whole. An empty table gives an empty result; other columns are ignored. Texts are read whole.
+A text shorter than a window stays whole. Rows that repeat an id stand in one document's place: they are not
+compared with each other, whether their texts are equal or not. No id is smaller than a missing one, nor a missing
+one smaller than any, so a row without an id stays whole. Of equal passages those of the smallest id stay. An empty
+table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,8 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.common import id_text, materialize, release, table
-from scholium.llm.windows import BLOCK, Prefixes, blocks, covered, cut, finish_carried, finish_or_carry
+from pyspark.sql.window import Window
+
+from scholium.llm.common import materialize, release, table
+from scholium.llm.windows import BLOCK, Prefixes, blocks, covered, cut, keyed, with_lists
 
 WORDS, SEED = 50, 12
 
@@ -57,105 +66,181 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def pieces(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> DataFrame:
-    """Edges of every document: where they start, their windows, and hashes of the minimizer and of all words.
-
-    The pair of 64-bit hashes is the edge's identity.
-    """
+def pieces(base: DataFrame, length: int = WORDS, seed: int = SEED) -> DataFrame:
+    """Runs of k-mers of every ``keyed`` row with an id: where they start, their k-mers, and hashes of the minimizer and of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n", "h", "d"]
+        names = ["doc", "t", "start", "n", "h", "d"]
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1)
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = batch.column(2)
             for at in range(0, batch.num_rows, 1000):
                 words = [split(t.as_py()) for t in texts.slice(at, 1000)]
                 for block in blocks([len(w) for w in words], length):
                     values = np.concatenate([_values(words[d][a:b]) for d, a, b in block])
                     p = cut(values, block, length, seed)
-                    columns = [pa.array(ids[at + p.owner]), *map(_signed, (p.start, p.windows, p.anchor, p.digest))]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns = map(_signed, (p.start, p.windows, p.anchor, p.digest))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + p.owner]), pa.array(hashes[at + p.owner]), *columns], names=names)
+
+    rows = base.filter("doc_id is not null").select("doc", "t", "text")
+    return rows.mapInArrow(run, "doc long, t long, start long, n long, h long, d long")
+
+
+_KMERS = "w1 long, w2 long, h long, d long, off long, doc long, t long, pos long, last long"
+
+
+def _kmers(length: int):
+    """The k-mers of each wanted run, at its source. Rows that repeat both id and text are read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _KMERS.split(", ")]
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc, t, text, wanted = (batch.column(i)[row].as_py() for i in range(4))
+                if (doc, t) in seen:
+                    continue
+                seen.add((doc, t))
+                words = split(text)
+                runs = {name: np.array([w[name] for w in wanted], np.int64) for name in ("at", "n", "h", "d", "last")}
+                for lo in range(0, len(words), BLOCK):
+                    mine = np.flatnonzero((runs["at"] >= lo) & (runs["at"] < lo + BLOCK))
+                    if not len(mine):
+                        continue
+                    counts = runs["n"][mine]
+                    own = np.repeat(mine, counts)
+                    off = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    pos = runs["at"][own] + off
+                    values = _values(words[lo : lo + BLOCK + 2 * length])
+                    hashes = [_signed(Prefixes(values, k).runs(length)[pos - lo]) for k in (0, 1)]
+                    named = [pa.array(runs[x][own]) for x in ("h", "d")]
+                    places = [pa.array(np.full(len(own), x, np.int64)) for x in (doc, t)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*hashes, *named, pa.array(off), *places, pa.array(pos), pa.array(runs["last"][own])], names=names
+                    )
 
-    return id_text(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, start long, n long, h long, d long")
+    return run
 
 
-def _edges(cand: DataFrame) -> DataFrame:
-    """One row per distinct edge: its source (first document and place), and whether it repeats."""
-    return cand.groupBy("h", "d").agg(
-        F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last"), F.first("n").alias("n"),
-        F.count("*").alias("c"),
-    ).select(
-        "h", "d", "n", "c", F.col("source.doc_id").alias("src"), F.col("source.start").alias("at"),
-        (F.col("last") > F.col("source.doc_id")).alias("repeated"),
+def repeated_runs(cand: DataFrame, base: DataFrame, length: int) -> DataFrame:
+    """(h, d, off, n, src, st, at): runs of repeated k-mers of each distinct run, with continuous source coordinates."""
+    spark = base.sparkSession
+    distinct = cand.groupBy("h", "d").agg(F.min(F.struct("doc", "t", "start")).alias("source"), F.max("doc").alias("last"), F.first("n").alias("n"))
+    edges = materialize(
+        distinct.select("h", "d", "n", "last", F.col("source.doc").alias("src"), F.col("source.t").alias("st"), F.col("source.start").alias("at")),
+        "debruijn-edges",
+    )
+    several = materialize(edges.groupBy("h").count().filter("count > 1").select("h"), "debruijn-several")
+    single = edges.join(several, "h", "left_anti").filter("last > src").select("h", "d", F.lit(0).cast("long").alias("off"), "n", "src", "st", "at")
+    lists = (
+        edges.join(several, "h", "left_semi")
+        .groupBy(F.col("src").alias("doc"), F.col("st").alias("t")).agg(F.collect_list(F.struct("at", "n", "h", "d", "last")).alias("wanted"))
     )
+    texts = with_lists(base, lists, "inner").select("doc", "t", "text", "wanted")
+    kmers = materialize(texts.mapInArrow(_kmers(length), _KMERS), "debruijn-kmers")
+    firsts = (
+        kmers.groupBy("w1", "w2").agg(F.min(F.struct("doc", "t", "pos")).alias("source"), F.max("last").alias("last"))
+        .filter("last > source.doc").select("w1", "w2", "source")
+    )
+    placed = kmers.join(materialize(firsts, "debruijn-firsts"), ["w1", "w2"]).select("h", "d", "off", "source.*")
+    # k-mers in a row whose sources are in a row: a run has length - seed + 1 k-mers at most
+    shift = F.col("pos") - F.col("off")
+    order = Window.partitionBy("h", "d", "doc", "t", shift).orderBy("off")
+    opened = placed.withColumn("island", F.col("off") - F.row_number().over(order)).groupBy("h", "d", "doc", "t", shift.alias("shift"), "island").agg(
+        F.min("off").alias("off"), F.count("*").alias("n")
+    )
+    opened = opened.select("h", "d", "off", "n", F.col("doc").alias("src"), F.col("t").alias("st"), (F.col("shift") + F.col("off")).alias("at"))
+    runs = materialize(single.union(opened), "debruijn-runs")
+    release(spark, edges, several, kmers)
+    return runs
+
+
+_RUN = ["src", "st", "at", "n"]
 
 
-def compact(edges: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(src, at, head): for each repeated edge the place in its source where its path begins.
+def compact(occurrences: DataFrame) -> DataFrame:
+    """(src, st, head, total): paths of runs in source coordinates, and (head, n) of the run that begins each.
 
-    Two edges stand in a row where the second's source coordinates continue the first's; the node between them
-    branches where occurrences leave it by different edges or enter it by different ones. Paths are the
-    unbranched rows; each edge points to its predecessor, and the pointers double until all reach their head.
+    ``occurrences`` is (doc, t, start, src, st, at, n). Of two runs the second continues the first where its source
+    coordinates do; they are one path if every occurrence of either stands beside one of the other.
     """
-    own = edges.filter("repeated").select("src", "at", "n")
-    # what precedes and follows an edge in any document shows the branches at its ends
-    steps = occurrences.select("src", "at", (F.col("start") + F.col("n")).alias("end"), "doc_id", "start")
-    follow = steps.select("doc_id", F.col("end").alias("start"), F.col("src").alias("p_src"), F.col("at").alias("p_at")).join(
-        steps.select("doc_id", "start", "src", "at"), ["doc_id", "start"]
+    order = Window.partitionBy("doc", "t").orderBy("start", "src", "st", "at", "n")
+
+    def beside(name: str, step) -> F.Column:
+        return step(name).over(order)
+
+    def joined(step, after: bool):
+        first_end = F.col("start") + F.col("n") if after else beside("start", step) + beside("n", step)
+        second_start = beside("start", step) if after else F.col("start")
+        first_at = F.col("at") + F.col("n") if after else beside("at", step) + beside("n", step)
+        second_at = beside("at", step) if after else F.col("at")
+        same = (beside("src", step) == F.col("src")) & (beside("st", step) == F.col("st"))
+        return F.when(same & (first_end == second_start) & (first_at == second_at), beside("n", step))
+
+    seen = occurrences.select("*", joined(F.lead, True).alias("next"), joined(F.lag, False).alias("prev"))
+    ends = seen.groupBy(*_RUN).agg(
+        F.count("*").alias("c"), *(f(x).alias(f"{x}_{f.__name__}") for x in ("next", "prev") for f in (F.count, F.min, F.max))
     )
-    into = follow.groupBy("src", "at").agg(F.min(F.struct("p_src", "p_at")).alias("a"), F.max(F.struct("p_src", "p_at")).alias("b"))
-    out = follow.groupBy("p_src", "p_at").agg(F.min(F.struct("src", "at")).alias("c"), F.max(F.struct("src", "at")).alias("d"))
-    single_in = into.filter("a = b").select("src", "at", F.col("a.p_src").alias("p_src"), F.col("a.p_at").alias("p_at"))
-    single_out = out.filter("c = d").select("p_src", "p_at")
-    links = single_in.filter("p_src = src").join(single_out, ["p_src", "p_at"])
-    before = own.select(F.col("src").alias("p_src"), F.col("at").alias("p_at"), (F.col("at") + F.col("n")).alias("at"))
-    links = links.join(before, ["p_src", "p_at", "at"]).select("src", "at", F.col("p_at").alias("head"))
-    heads = materialize(
-        own.join(links, ["src", "at"], "left").select("src", "at", F.coalesce("head", "at").alias("head")), "debruijn-heads"
+
+    def settled(x: str) -> F.Column:
+        always = (F.col(f"{x}_count") == F.col("c")) & (F.col(f"{x}_min") == F.col(f"{x}_max"))
+        return F.when(always, F.col(f"{x}_min")).alias(x)
+
+    ends = materialize(ends.select(*_RUN, settled("next"), settled("prev")), "debruijn-ends")
+    before = ends.filter("next is not null").select(
+        "src", "st", F.col("at").alias("head"), F.col("n").alias("head_n"), (F.col("at") + F.col("n")).alias("at"), F.col("next").alias("n")
     )
+    links = ends.filter("prev is not null").select(*_RUN, "prev").join(before, _RUN).filter("head_n = prev").select(*_RUN, "head", "head_n")
+    heads = materialize(
+        ends.join(links, _RUN, "left").select(*_RUN, F.coalesce("head", "at").alias("head"), F.coalesce("head_n", "n").alias("head_n")),
+        "debruijn-heads",
+    )
+    release(ends.sparkSession, ends)
     moved = None
     while True:
-        total = heads.agg(F.sum(F.col("at") - F.col("head"))).first()[0]
+        total = heads.agg(F.sum((F.col("at") - F.col("head")).cast("decimal(38, 0)"))).first()[0]
         if total == moved or not total:
-            return heads
+            break
         moved = total
-        jump = heads.select("src", F.col("at").alias("head"), F.col("head").alias("further"))
-        heads = materialize(
-            heads.join(jump, ["src", "head"]).select("src", "at", F.col("further").alias("head")), "debruijn-heads"
+        jump = heads.select(
+            "src", "st", F.col("at").alias("head"), F.col("n").alias("head_n"), F.col("head").alias("further"), F.col("head_n").alias("further_n")
         )
+        further = heads.join(jump, ["src", "st", "head", "head_n"])
+        now = further.select(*_RUN, F.col("further").alias("head"), F.col("further_n").alias("head_n"))
+        old, heads = heads, materialize(now, "debruijn-heads")
+        release(heads.sparkSession, old)
+    return heads.groupBy("src", "st", "head", "head_n").agg(F.sum("n").alias("total"))
 
 
-def _windows(length: int):
-    """List each wanted piece's windows as (w1, w2, doc_id, pos)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc, text, wanted = (batch.column(i)[row].as_py() for i in range(3))
-                words = split(text)
-                listed = np.zeros(len(words), bool)
-                for p in wanted:
-                    listed[p["at"] : p["at"] + p["n"]] = True
-                for lo in range(0, len(words), BLOCK):
-                    chosen = np.flatnonzero(listed[lo : lo + BLOCK])
-                    if len(chosen):
-                        values = _values(words[lo : lo + BLOCK + length - 1])
-                        hashes = [_signed(Prefixes(values, k).runs(length)[chosen]) for k in (0, 1)]
-                        yield pa.RecordBatch.from_arrays(
-                            [*hashes, pa.array(np.full(len(chosen), doc, np.int64)), pa.array(chosen + lo)],
-                            names=["w1", "w2", "doc_id", "pos"],
-                        )
-
-    return run
+_STRETCH = "struct<s:long,n:long,src:long,st:long,at:long>"
 
 
 def _finish(length: int):
-    def run(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:
-        words = kept = split(text)
-        if len(starts):
-            gone = covered(len(words), starts, ends, length)
-            kept = [w for w, g in zip(words, gone.tolist()) if not g]
-        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+    """Removal, and a digest of the words of each listed stretch: removed spans, and sources of spans elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [*[pa.int64()] * 5, pa.string()]
+        checks = pa.list_(pa.struct([(x, pa.int64()) for x in ("s", "n", "src", "st", "at")] + [("digest", pa.binary())]))
+        for batch in batches:
+            rows, digests = [], []
+            for doc, t, text, listed in zip(*(batch.column(i) for i in (0, 1, 3, 4))):
+                words = kept = split(text.as_py())
+                listed, mine, own = listed.as_py() or [], [], (doc.as_py(), t.as_py())
+                for x in listed:
+                    passage = b" ".join(words[x["s"] : x["s"] + x["n"] + length - 1])
+                    mine.append({**x, "digest": hashlib.blake2b(passage, digest_size=16).digest()})
+                spans = [(x["s"], x["s"] + x["n"]) for x in listed if (x["src"], x["st"]) != own]
+                if spans:
+                    starts, ends = np.array(spans, np.int64).T
+                    gone = covered(len(words), starts, ends, length)
+                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
+                digests.append(mine)
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds[3:])]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), *columns, pa.array(digests, checks)],
+                names=["doc", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "checks"],
+            )
 
     return run
 
@@ -165,53 +250,45 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> Da
 
     A word goes when a window over it also starts in a document of smaller id.
     """
-    spark, base = docs.sparkSession, id_text(docs)
-    all_pieces = materialize(pieces(docs, length, seed), "debruijn-pieces")
-    shared = all_pieces.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
+    spark, base = docs.sparkSession, keyed(docs)
+    all_pieces = materialize(pieces(base, length, seed), "debruijn-pieces")
+    shared = all_pieces.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
     shared = materialize(shared, "debruijn-shared")
     cand = materialize(all_pieces.join(shared, "h", "left_semi"), "debruijn-candidates")
     release(spark, all_pieces, shared)
-    edges = materialize(_edges(cand), "debruijn-edges")
+    runs = repeated_runs(cand, base, length)
+    placed = cand.select("doc", "t", "start", "h", "d").join(runs, ["h", "d"])
     occurrences = materialize(
-        cand.join(edges.filter("repeated").select("h", "d", "src", "at"), ["h", "d"])
-        .select("doc_id", "start", "n", "src", "at"),
+        # rows that repeat id and text stand once
+        placed.select("doc", "t", (F.col("start") + F.col("off")).alias("start"), "src", "st", "at", "n").repartition("doc", "t").distinct(),
         "debruijn-occurrences",
     )
-    heads = compact(edges, occurrences)
-    later = occurrences.filter("doc_id > src").join(heads, ["src", "at"])
-    # an occurrence of a path lies at one shift from the source; without a gap it is one span
-    paths = later.groupBy("doc_id", "src", "head", (F.col("start") - F.col("at")).alias("shift")).agg(
-        F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.sum("n").alias("covered"),
-        F.collect_list(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))).alias("parts"),
-    )
-    whole = F.array(F.struct("s", "e"))
-    spans = paths.select(
-        "doc_id", F.explode(F.when(F.col("e") - F.col("s") == F.col("covered"), whole).otherwise(F.col("parts"))).alias("r")
-    )
-    # edges that share a minimizer and differ: their windows in the source, wherever they stand there, one by one
-    several = materialize(edges.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "debruijn-several")
-    mixed = edges.join(several, "h", "left_semi")
-    further = cand.join(materialize(mixed.filter("c > 1").select("h", "d", "src", "at"), "debruijn-several"), ["h", "d"])
-    wanted = mixed.select(F.col("src").alias("doc_id"), F.struct("at", "n").alias("w")).union(
-        further.filter("doc_id = src and start <> at").select("doc_id", F.struct(F.col("start").alias("at"), "n").alias("w"))
-    )
-    result = "n_words long, n_removed long, kept_sha256 string"
-    finish = _finish(length)
-    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "debruijn-passed", "zstd")
-    release(spark, cand, edges, occurrences, heads)
-    carried = passed.filter("wanted is not null").select("doc_id", "text", "wanted")
-    windows = materialize(carried.mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, pos long"), "debruijn-windows")
-    firsts = (
-        windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("b"))
-        .filter("src < b").select("w1", "w2", "src")
-    )
-    again = materialize(
-        windows.join(materialize(firsts, "debruijn-firsts"), ["w1", "w2"]).filter("doc_id > src")
-        .select("doc_id", F.struct(F.col("pos").alias("s"), (F.col("pos") + 1).alias("e")).alias("r")),
-        "debruijn-again",
-    )
-    release(spark, windows)
-    return finish_carried(passed, again, finish, result)
+    release(spark, cand, runs)
+    paths = materialize(compact(occurrences), "debruijn-paths")
+    heads = paths.select("src", "st", F.col("head").alias("at"), F.col("head_n").alias("n"), "total")
+    later = occurrences.filter("doc > src").join(heads, _RUN).select("doc", "t", F.struct(F.col("start").alias("s"), F.col("total").alias("n"), "src", "st", "at").alias("x"))
+    sources = paths.select(F.col("src").alias("doc"), F.col("st").alias("t"), F.struct(F.col("head").alias("s"), F.col("total").alias("n"), "src", "st", F.col("head").alias("at")).alias("x"))
+    stretches = materialize(later.union(sources), "debruijn-stretches")
+    release(spark, occurrences, paths)
+
+    def finished(rows: DataFrame, stretches: DataFrame) -> DataFrame:
+        lists = stretches.groupBy("doc", "t").agg(F.collect_list("x").cast(f"array<{_STRETCH}>").alias("listed"))
+        schema = "doc long, t long, doc_id long, n_words long, n_removed long, kept_sha256 string, checks array<struct<s:long,n:long,src:long,st:long,at:long,digest:binary>>"
+        return with_lists(rows, lists).select("doc", "t", "doc_id", "text", "listed").mapInArrow(_finish(length), schema)
+
+    passed = materialize(finished(base, stretches), "debruijn-passed")
+    checks = passed.select("doc", "t", F.explode("checks").alias("x")).select("doc", "t", "x.*").distinct()
+    own = (F.col("doc") == F.col("src")) & (F.col("t") == F.col("st"))
+    truth = checks.filter(own).select("src", "st", "at", "n", F.col("digest").alias("said"))
+    wrong = checks.filter(~own).join(truth, _RUN, "left").filter("said is null or said <> digest").select("doc", "t", "s", *_RUN)
+    wrong = materialize(wrong, "debruijn-wrong")
+    result = passed.select("doc_id", "n_words", "n_removed", "kept_sha256", "doc", "t")
+    if not wrong.isEmpty():  # spans that their source does not confirm are not removed
+        bad = wrong.select("doc", "t").distinct()
+        held = stretches.select("doc", "t", "x.*").join(wrong, ["doc", "t", "s", *_RUN], "left_anti").select("doc", "t", F.struct("s", "n", "src", "st", "at").alias("x"))
+        again = finished(base.join(bad, ["doc", "t"], "left_semi"), held).select(*result.columns)
+        result = result.join(bad, ["doc", "t"], "left_anti").select(*result.columns).union(again)
+    return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

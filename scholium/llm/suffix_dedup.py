@@ -1,19 +1,20 @@
 """Removal of bytes covered by repeated strings of a fixed length, through suffix arrays.
 
-Documents are cut into pieces by minimizers; pieces whose minimizer occurs once hold no repeat. Equal pieces
-collapse to one, and where a piece occurs twice all its windows are repeated. What is left are single pieces
-that share a minimizer with different ones: their windows are cut into blocks by distance from the minimizer.
-The windows of a block share a core, the stretch that all of them cover, and only blocks with equal cores can
-hold equal windows; so a block is contracted to the bytes left of the core, one symbol for the core, and the
-bytes right of it. Shards of contracted blocks are sorted into suffix arrays by Larsson-Sadakane refinement;
-Kasai's common prefixes show the windows that stand twice in the shard. A core in more than ``shard_blocks``
-blocks is spread over several shards, whose sorted runs of distinct windows are then merged across shards by
-binary search, routed by a hash of the window.
-
-Defined cases: a null or empty text has no bytes and nothing removed. Texts shorter than a window stay whole.
-Rows that repeat an id hold the same text and count as several documents. A row without an id stays whole. An
-empty table gives an empty result; other columns are ignored. Texts are read whole; matches never cross
-documents.
+Documents are cut into pieces by minimizers; pieces whose minimizer occurs once hold no repeat. Before anything is
+sorted, equal pieces collapse to one row with two of their places, so a group of copies of any size costs two.
+Both representatives, and every single piece that shares its minimizer with others, are cut into blocks by distance
+from the minimizer. The windows of a block share a core, the stretch that all of them cover, and only blocks with
+equal cores can hold equal windows; so a block is contracted to the bytes left of the core, one symbol for the
+core, and the bytes right of it. Shards of contracted blocks are sorted into suffix arrays by Larsson-Sadakane
+refinement; Kasai's common prefixes show the windows that stand twice in the shard. A core in more than
+``shard_blocks`` blocks is spread over several shards, whose sorted runs of distinct windows are then merged across
+shards by binary search, routed by a hash of the window. Only windows that a suffix array or the merge shows twice
+are removed, at every place of the piece that holds them.
+
+Defined cases: a null or empty text has no bytes and nothing removed. Texts shorter than a window stay whole. Every
+row is a document of its own: rows that repeat an id, with equal texts or others, count as several, and rows
+without an id take part like any other. Of equal windows none is preferred: all go. An empty table gives an empty
+result; other columns are ignored. Texts are read whole; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.common import id_text, materialize, release, table
+from scholium.llm.common import materialize, release, table
 from scholium.llm.suffixes import common_prefixes, suffix_array
-from scholium.llm.windows import blocks, covered, cut, finish_carried, finish_or_carry, mix
+from scholium.llm.windows import RANGES, blocks, covered, cut, keyed, mix, ranges, with_lists
 
 LENGTH, SEED, STEP = 400, 160, 32
+#: Blocks of one core in a shard; more are spread over several shards and merged.
+SHARD_BLOCKS = 256
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -43,42 +46,45 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Pieces of all documents: first window, windows, place of the minimizer, and the two hashes that name it."""
+def pieces(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """Pieces of all ``keyed`` rows: first window, windows, place of the minimizer, and the two hashes that name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n", "place", "h", "d"]
+        names = ["doc", "t", "start", "n", "place", "h", "d"]
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, batch.num_rows, 1000):
-                texts = [np.frombuffer(_raw(t.as_py()), np.uint8) for t in batch.column(1).slice(at, 1000)]
+                texts = [np.frombuffer(_raw(t.as_py()), np.uint8) for t in batch.column(2).slice(at, 1000)]
                 for block in blocks([len(t) for t in texts], length):
                     values = _BYTES[np.concatenate([texts[d][a:b] for d, a, b in block])]
                     p = cut(values, block, length, seed)
-                    columns = [pa.array(ids[at + p.owner]), *map(_signed, (p.start, p.windows, p.place, p.anchor, p.digest))]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns = map(_signed, (p.start, p.windows, p.place, p.anchor, p.digest))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + p.owner]), pa.array(hashes[at + p.owner]), *columns], names=names)
 
-    schema = "doc_id long, start long, n long, place long, h long, d long"
-    return id_text(docs).filter("doc_id is not null").mapInArrow(run, schema)
+    return base.select("doc", "t", "text").mapInArrow(run, "doc long, t long, start long, n long, place long, h long, d long")
 
 
-_BLOCKS = "key long, core long, doc_id long, low long, first long, left binary, right binary, need boolean"
+_BLOCKS = "key long, core long, h long, d long, low long, first long, left binary, right binary, need boolean"
 
 
 def _blocks(length: int, step: int):
     """Blocks of the wanted pieces: windows by ``step`` distances from the minimizer, contracted around the core.
 
-    ``first`` is the block's window nearest the minimizer on its left side at distance ``low`` from the block's
-    edge; the windows run ``len(left)`` down to ``low`` bytes left of the core.
+    ``first`` is the piece's window at which the core begins, and the windows of the block run from ``len(left)``
+    down to ``low`` bytes left of it. Rows that repeat both id and text are read once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _BLOCKS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+        kinds = [*[pa.int64()] * 6, pa.binary(), pa.binary(), pa.bool_()]
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
             for row in range(batch.num_rows):
-                doc, text, wanted = (batch.column(i)[row].as_py() for i in range(3))
+                doc, t, text, wanted = (batch.column(i)[row].as_py() for i in range(4))
+                if (doc, t) in seen:
+                    wanted = []
+                seen.add((doc, t))
                 raw = _raw(text)
                 for w in wanted:
                     place = w["at"] + w["place"]
@@ -90,7 +96,7 @@ def _blocks(length: int, step: int):
                         core = xxhash.xxh3_128_intdigest(raw[begin:end], seed=k)
                         rows.append(
                             (
-                                (core >> 64) - (1 << 63), (core & ((1 << 64) - 1)) - (1 << 63), doc, low, begin,
+                                (core >> 64) - (1 << 63), (core & ((1 << 64) - 1)) - (1 << 63), w["h"], w["d"], low, begin - w["at"],
                                 raw[begin - high : begin], raw[end : end + step - 1 - low], w["need"],
                             )
                         )
@@ -159,22 +165,22 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-_FOUND = "doc_id long, s long, e long, w1 long, w2 long, shard int"
+_FOUND = "h long, d long, s long, e long, w1 long, w2 long, shard int"
 
 
 def _search(step: int, limit: int):
     """Suffix arrays of the shards: repeated windows, and the distinct others of shards that share their core.
 
-    A row with shard 0 is a run of windows found repeated. Other rows are a distinct window of a split core, by
-    its hash, for the merge; their doc_id is null where the window needs no verdict.
+    A row with shard 0 is a run of a piece's windows found repeated. Other rows are a distinct window of a split
+    core, by its hash, for the merge; their piece is null where the window needs no verdict.
     """
 
-    names = ["doc_id", "s", "e", "w1", "w2", "shard"]
+    names = ["h", "d", "s", "e", "w1", "w2", "shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, limit):
             key, core, part = (rows.column(i).to_numpy() for i in range(3))
-            doc, low, first = (rows.column(n).to_numpy() for n in ("doc_id", "low", "first"))
+            h, d, low, first = (rows.column(n).to_numpy() for n in ("h", "d", "low", "first"))
             need = rows.column("need").to_numpy()
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (core[1:] != core[:-1]) | (part[1:] != part[:-1])))
             lefts, rights = rows.column("left").to_pylist(), rows.column("right").to_pylist()
@@ -187,7 +193,7 @@ def _search(step: int, limit: int):
                 head = np.concatenate(([True], (np.diff(mine) > 1) | (np.diff(block[mine]) > 0)))
                 heads, tails = mine[head], mine[np.append(head[1:], True)]
                 none = np.zeros(len(heads), np.int64)
-                columns = [doc[block[heads]], start[heads], start[tails] + 1, none, none, none.astype(np.int32)]
+                columns = [h[block[heads]], d[block[heads]], start[heads], start[tails] + 1, none, none, none.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             split = np.flatnonzero(part[block] > 0)
             if not len(split):
@@ -207,7 +213,7 @@ def _search(step: int, limit: int):
             wants = need[block[chosen]] & ~again[chosen]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc[block[chosen]], mask=~wants), pa.array(start[chosen]), pa.array(start[chosen] + 1),
+                    *(pa.array(x[block[chosen]], mask=~wants) for x in (h, d)), pa.array(start[chosen]), pa.array(start[chosen] + 1),
                     pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(part[block[chosen]].astype(np.int32)),
                 ],
                 names=names,
@@ -223,8 +229,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.rec.fromarrays([rows.column("w1").to_numpy(), rows.column("w2").to_numpy()])
         merged = np.sort(keys)  # a shard holds a window once, so a second copy is another shard's
         hit = pa.array(np.searchsorted(merged, keys, "right") - np.searchsorted(merged, keys, "left") > 1)
-        columns = [rows.column(n).combine_chunks().filter(hit) for n in ("doc_id", "s", "e")]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "e"])
+        columns = [rows.column(n).combine_chunks().filter(hit) for n in ("h", "d", "s", "e")]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "d", "s", "e"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -241,67 +247,73 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(length: int):
-    def run(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
-        raw = _raw(text)
-        if not len(starts):
-            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-        gone = covered(len(raw), starts, ends, length)
-        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        kept = np.frombuffer(raw, np.uint8)[~gone]
-        return len(raw), int(gone.sum()), runs, hashlib.sha256(kept.tobytes()).hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        kinds = [*[pa.int64()] * 3, pa.string()]
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column(1), batch.column(2)):
+                raw, (starts, ends) = _raw(text.as_py()), ranges(spans)
+                kept, removed, runs = raw, 0, 0
+                if len(starts):
+                    gone = covered(len(raw), starts, ends, length)
+                    removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
 
 
-def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, shard_blocks: int = 1 << 13
-) -> DataFrame:
-    """Bytes, bytes and runs removed, and the digest of the kept bytes of each document."""
-    spark, base = docs.sparkSession, id_text(docs)
-    all_pieces = materialize(pieces(docs, length, seed), "suffix-pieces")
-    shared = materialize(all_pieces.groupBy("h").count().filter("count > 1").select("h"), "suffix-shared")
-    cand = materialize(all_pieces.join(shared, "h", "left_semi"), "suffix-candidates")
-    release(spark, all_pieces, shared)
+def repeated_windows(cand: DataFrame, base: DataFrame, length: int, step: int, shard_blocks: int) -> DataFrame:
+    """(h, d, s, e): runs of windows of each distinct piece that suffix arrays or their merge show to stand twice."""
+    place = F.struct("doc", "t", "start", "n", "place")
     distinct = materialize(
-        cand.groupBy("h", "d").agg(
-            F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "place")).alias("one")
-        ),
-        "suffix-distinct",
-    )
-    again = materialize(distinct.filter("c > 1").select("h", "d"), "suffix-again")
-    spans = cand.join(again, ["h", "d"], "left_semi").select(
-        "doc_id", F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")).alias("r")
-    )
-    open_ = distinct.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h")
-    wanted = distinct.join(materialize(open_, "suffix-open"), "h", "left_semi").select(
-        "one.doc_id",
-        F.struct(F.col("one.start").alias("at"), "one.n", "one.place", (F.col("c") == 1).alias("need")).alias("w"),
+        cand.groupBy("h", "d").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two")), "suffix-distinct"
     )
-    result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    finish = _finish(length)
-    passed = materialize(finish_or_carry(base, spans, wanted, finish, result), "suffix-passed", "zstd")
-    release(spark, cand, distinct, again)
-    carried = passed.filter("wanted is not null").select("doc_id", "text", "wanted")
-    listed = materialize(carried.mapInArrow(_blocks(length, step), _BLOCKS), "suffix-blocks")
-    cores = materialize(
-        listed.groupBy("key", "core").agg(F.count("*").alias("k"), F.max("need").alias("any")).filter("k > 1 and any").select("key", "core", "k"),
-        "suffix-cores",
-    )
-    shards = F.ceil(F.col("k") / F.lit(shard_blocks)).cast("int")
-    part = F.when(shards > 1, 1 + F.pmod(F.xxhash64("doc_id", "first"), shards).cast("int")).otherwise(F.lit(0))
-    rows = listed.join(cores, ["key", "core"]).select("key", "core", part.alias("part"), "doc_id", "low", "first", "left", "right", "need")
+
+    def wanted(one: str, need: bool) -> DataFrame:
+        w = F.struct(F.col(f"{one}.start").alias("at"), f"{one}.n", f"{one}.place", "h", "d", F.lit(need).alias("need"))
+        return distinct.filter("true" if need else "c > 1").select(f"{one}.doc", f"{one}.t", w.alias("w"))
+
+    lists = wanted("one", True).union(wanted("two", False)).groupBy("doc", "t").agg(F.collect_list("w").alias("wanted"))
+    texts = with_lists(base, lists, "inner").select("doc", "t", "text", "wanted")
+    listed = materialize(texts.mapInArrow(_blocks(length, step), _BLOCKS), "suffix-blocks")
+    release(base.sparkSession, distinct)
+    cores = materialize(listed.groupBy("key", "core").count().filter("count > 1"), "suffix-cores")
+    shards = F.ceil(F.col("count") / F.lit(shard_blocks)).cast("int")
+    part = F.when(shards > 1, 1 + F.pmod(F.xxhash64("h", "d", "first"), shards).cast("int")).otherwise(F.lit(0))
+    rows = listed.join(cores, ["key", "core"]).select("key", "core", part.alias("part"), "h", "d", "low", "first", "left", "right", "need")
     found = materialize(
         rows.repartition("key", "core", "part").sortWithinPartitions("key", "core", "part").mapInArrow(_search(step, 1 << 12), _FOUND),
         "suffix-found",
     )
+    release(base.sparkSession, listed, cores)
     merged = (
-        found.filter("shard > 0").select("doc_id", "s", "e", "w1", "w2")
-        .repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge, "doc_id long, s long, e long").filter("doc_id is not null")
+        found.filter("shard > 0").select("h", "d", "s", "e", "w1", "w2")
+        .repartition("w1").sortWithinPartitions("w1").mapInArrow(_merge, "h long, d long, s long, e long").filter("h is not null")
     )
-    hits = found.filter("shard = 0").select("doc_id", "s", "e").union(merged)
-    ranges = hits.select("doc_id", F.struct("s", "e").alias("r"))
-    release(spark, listed)
-    return finish_carried(passed, ranges, finish, result)
+    return found.filter("shard = 0").select("h", "d", "s", "e").union(merged)
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, shard_blocks: int = SHARD_BLOCKS
+) -> DataFrame:
+    """Bytes, bytes and runs removed, and the digest of the kept bytes of each document."""
+    spark, base = docs.sparkSession, keyed(docs)
+    all_pieces = materialize(pieces(base, length, seed), "suffix-pieces")
+    shared = materialize(all_pieces.groupBy("h").count().filter("count > 1").select("h"), "suffix-shared")
+    cand = materialize(all_pieces.join(shared, "h", "left_semi"), "suffix-candidates")
+    release(spark, all_pieces, shared)
+    # a piece has length - seed + 1 windows at most, so its list is short
+    found = repeated_windows(cand.select("doc", "t", "start", "n", "place", "h", "d"), base, length, step, shard_blocks)
+    per_piece = materialize(found.groupBy("h", "d").agg(F.collect_list(F.struct("s", "e")).alias("r")), "suffix-ranges")
+    moved = F.transform("r", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))
+    spans = cand.select("doc", "t", "start", "h", "d").join(per_piece, ["h", "d"]).select("doc", "t", moved.alias("r"))
+    lists = spans.groupBy("doc", "t").agg(F.flatten(F.collect_list("r")).cast(RANGES).alias("spans"))
+    last = with_lists(base, lists).select("doc_id", "text", "spans")
+    return last.mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,16 @@ equal. All steps run over flat arrays of many documents at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from scholium.llm.common import id_text
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _PLACE_BITS = np.uint64(24)
@@ -151,66 +150,26 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray, length: int) -> np.nda
     return np.cumsum(edges[:-1]) > 0
 
 
-Finish = Callable[[str, np.ndarray, np.ndarray], tuple]
 RANGES = "array<struct<s:long,e:long>>"
 
 
-def _ranges(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, t, doc_id, text): ``doc`` is the id, 0 where it is null, and ``t`` a hash of id and text.
+
+    Together they name a row's content, so rows that repeat an id with other texts stay apart, and rows without
+    an id spread over all tasks.
+    """
+    base = id_text(docs)
+    return base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("t"), "doc_id", "text")
+
+
+def ranges(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     if not cell.is_valid:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     both = cell.values
     return both.field(0).to_numpy(zero_copy_only=False), both.field(1).to_numpy(zero_copy_only=False)
 
 
-def finish_or_carry(docs: DataFrame, spans: DataFrame, wanted: DataFrame, finish: Finish, result: str) -> DataFrame:
-    """One pass over all texts: documents without wanted pieces are finished, the others carry their texts on.
-
-    ``spans`` is (doc_id, r struct<s, e>) and ``wanted`` (doc_id, w struct<...>). The texts are shuffled once,
-    against one row per document; what is carried on is written compressed and is a part of the corpus only.
-    """
-    kind = wanted.schema["w"].dataType.simpleString()
-    todo = (
-        spans.select("doc_id", "r", F.lit(None).cast(kind).alias("w"))
-        .union(wanted.select("doc_id", F.lit(None).cast("struct<s:long,e:long>").alias("r"), "w"))
-        .groupBy("doc_id").agg(F.collect_list("r").alias("spans"), F.collect_list("w").alias("wanted"))
-    )
-    joined = docs.join(todo.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans", "wanted")
-    names = [f.name for f in StructType.fromDDL(result)]
-    schema = to_arrow_schema(StructType.fromDDL(f"doc_id long, {result}, text string, spans {RANGES}, wanted array<{kind}>"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column(3)), 0)
-            keep = pc.greater(sizes, 0)
-            done = batch.filter(pc.invert(keep))
-            rows = [finish(t.as_py(), *_ranges(r)) for t, r in zip(done.column(1), done.column(2))]
-            columns = [pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(names)]
-            rest = [pa.nulls(done.num_rows, schema.field(n).type) for n in ("text", "spans", "wanted")]
-            yield pa.RecordBatch.from_arrays([done.column(0), *columns, *rest], schema=schema)
-            carry = batch.filter(keep)
-            none = [pa.nulls(carry.num_rows, schema.field(n).type) for n in names]
-            held = [carry.column(i).cast(schema.field(n).type) for i, n in ((1, "text"), (2, "spans"), (3, "wanted"))]
-            yield pa.RecordBatch.from_arrays([carry.column(0), *none, *held], schema=schema)
-
-    return joined.mapInArrow(run, f"doc_id long, {result}, text string, spans {RANGES}, wanted array<{kind}>")
-
-
-def finish_carried(passed: DataFrame, found: DataFrame, finish: Finish, result: str) -> DataFrame:
-    """Results of all documents: those finished, and the carried ones with the ranges ``found`` (doc_id, r)."""
-    names = [f.name for f in StructType.fromDDL(result)]
-    done = passed.filter("wanted is null").select("doc_id", *names)
-    more = found.groupBy("doc_id").agg(F.collect_list("r").alias("more"))
-    carried = passed.filter("wanted is not null").select("doc_id", "text", "spans").join(more.hint("shuffle_hash"), "doc_id", "left")
-    schema = to_arrow_schema(StructType.fromDDL(f"doc_id long, {result}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans, extra in zip(*(batch.column(i) for i in (1, 2, 3))):
-                both = [np.concatenate(x) for x in zip(_ranges(spans), _ranges(extra))]
-                rows.append(finish(text.as_py(), *both))
-            columns = [pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
-
-    last = carried.select("doc_id", "text", "spans", "more").mapInArrow(run, f"doc_id long, {result}")
-    return done.union(last)
+def with_lists(base: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
+    """Rows of ``keyed`` with what is listed for them by (doc, t); the texts are shuffled once, by content."""
+    return base.join(lists.hint("shuffle_hash"), ["doc", "t"], how)
