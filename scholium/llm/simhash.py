@@ -6,14 +6,15 @@ floor(3 * l / 8) for every length l: 0, 0, 1, 1, 1, 2, 2, 3. The first two segme
 at most one of the next three differs, so a pair meets under one of 8 x 3 keys of four equal segments (32 bits).
 Within a key the chain budgets are tested before the full Hamming distance.
 
-Rows with equal fingerprints collapse to one class first, so a hot group of copies is one row. A key's bucket
-gives links that connect it rather than all its pairs: each fingerprint is compared with those not yet reached.
+Rows with equal fingerprints collapse to one class first, so a hot group of copies is one row. The fingerprint is
+the class's name in links and components; the ids of a component are looked up at the end. A key's bucket gives links that connect it rather than all its pairs: each fingerprint is compared with those not yet reached.
 Buckets over ``bucket_limit`` are split again: the bits not yet known to be equal are cut in four groups, of which
-three differing bits leave one equal. Each level keeps a quarter fewer open bits, so it ends at four open bits and
-16 members at most.
+three differing bits leave one equal. Each level is a table of its own and keeps a quarter fewer open bits, so it
+ends at four open bits and 16 members at most.
 
-Defined cases: a null, empty or white-space text has fingerprint zero and is linked like any other. Repeated
-rows with one id share its class; the smallest id reachable names the component. An empty table gives an empty
+Defined cases: a null, empty or white-space text has fingerprint zero and is linked like any other. Every row has
+a fingerprint of its own, also where rows repeat an id. A row without an id links like any other, and the smallest
+id reachable names its component; where there is none, the component's name is null. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,6 +38,8 @@ BUDGETS = np.array([RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)], dty
 KEYS = [(i, s) for i in range(SEGMENTS) for s in (2, 3, 4)]
 #: Open bits of a bucket by level: 32, 24, 18, 13, 9, 6, 4.
 LEVELS = 6
+#: Members of a bucket that one task compares; larger buckets are split.
+BUCKET = 1 << 12
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
@@ -86,13 +89,13 @@ def _keys(classes: DataFrame) -> DataFrame:
             mask |= 255 << (BITS * (s % SEGMENTS))
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(key.alias("key"), F.lit(signed).cast("long").alias("held")))
-    return classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.held", "fp", "rep")
+    return classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.held", "fp")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row under four finer keys, one for each group of its open bits; ``held`` marks the equal bits."""
     for batch in batches:
-        key, held, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, held, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         fp = fp.view(np.uint64)
         for mask in np.unique(held):
             rows = held == mask
@@ -101,8 +104,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = sum(1 << int(b) for b in group)
                 new = mix(key[rows].view(np.uint64) ^ mix((fp[rows] & np.uint64(part)) + np.uint64(n + 1)))
                 more = np.full(len(new), mask, np.int64) | np.array([part], np.uint64).view(np.int64)
-                columns = [new.view(np.int64), more, fp[rows].view(np.int64), rep[rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "held", "fp", "rep"])
+                columns = [new.view(np.int64), more, fp[rows].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "held", "fp"])
 
 
 def _near(one: np.uint64, rest: np.ndarray) -> np.ndarray:
@@ -125,8 +128,9 @@ def _pair_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return passed & (each.sum(axis=1) <= RADIUS)
 
 
-def bucket_links(fps: np.ndarray, reps: np.ndarray) -> tuple[list[int], list[int]]:
+def bucket_links(fps: np.ndarray) -> tuple[list[int], list[int]]:
     """Links that connect exactly what the pairs within the radius connect: a search over unreached members."""
+    names = fps.view(np.int64)
     us: list[int] = []
     vs: list[int] = []
     left = np.arange(len(fps))
@@ -136,8 +140,8 @@ def bucket_links(fps: np.ndarray, reps: np.ndarray) -> tuple[list[int], list[int
             at = frontier.pop()
             found = _near(fps[at], fps[left])
             reached, left = left[found], left[~found]
-            us += [int(reps[at])] * len(reached)
-            vs += reps[reached].tolist()
+            us += [int(names[at])] * len(reached)
+            vs += names[reached].tolist()
             frontier += reached.tolist()
     return us, vs
 
@@ -147,15 +151,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def emit(rows: np.ndarray) -> pa.RecordBatch:
-        keys, fps, reps = rows[0], rows[1].view(np.uint64), rows[2]
+        keys, fps = rows[0], rows[1].view(np.uint64)
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
         sizes = ends - starts
         two = starts[sizes == 2]
         near = _pair_near(fps[two], fps[two + 1])
-        us, vs = reps[two[near]].tolist(), reps[two[near] + 1].tolist()
+        us, vs = rows[1][two[near]].tolist(), rows[1][two[near] + 1].tolist()
         for a, b in zip(starts[sizes > 2], ends[sizes > 2]):
-            more = bucket_links(fps[a:b], reps[a:b])
+            more = bucket_links(fps[a:b])
             us += more[0]
             vs += more[1]
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -163,7 +167,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
         last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on in the next batch
         if last:
             yield emit(np.concatenate([*held, rows[:, :last]], axis=1))
@@ -173,8 +177,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(np.concatenate(held, axis=1))
 
 
-def links(classes: DataFrame, bucket_limit: int = 1 << 15) -> DataFrame:
-    """(u, v) between class representatives that connect the classes ``(fp, rep)`` within the radius."""
+def links(classes: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
+    """(u, v) between fingerprints that connect the classes ``(fp)`` within the radius."""
     keyed = _keys(classes)
     parts = []
     for _ in range(LEVELS):
@@ -184,24 +188,26 @@ def links(classes: DataFrame, bucket_limit: int = 1 << 15) -> DataFrame:
         if sizes.isEmpty():
             break
         parts.append(keyed.join(sizes, "key", "left_anti"))
-        hot = keyed.join(sizes, "key", "left_semi").select("key", "held", "fp", "rep")
-        keyed = hot.mapInArrow(_split, "key long, held long, fp long, rep long")
+        hot = keyed.join(sizes, "key", "left_semi").select("key", "held", "fp")
+        keyed = materialize(hot.mapInArrow(_split, "key long, held long, fp long"), "simhash-split")
     parts.append(keyed)
     found = None
     for part in parts:
-        sorted_part = part.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key")
+        sorted_part = part.select("key", "fp").repartition("key").sortWithinPartitions("key")
         one = sorted_part.mapInArrow(_links, "u long, v long")
         found = one if found is None else found.union(one)
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, bucket_limit: int = 1 << 15) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
     """One row per document: fingerprint, the component it belongs to, and its class's smallest id."""
     prints = materialize(fingerprints(docs), "simhash-fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     found = components(links(classes, bucket_limit))
-    labelled = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "fp", "rep", F.coalesce("component", "rep").alias("component_id")
+    linked = classes.join(found, classes["fp"] == found["node"]).select("component", "fp", "rep")
+    named = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("fp", "component_id")
+    labelled = classes.join(named.withColumn("linked", F.lit(True)), "fp", "left").select(
+        "fp", "rep", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
     )
     return prints.join(labelled, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rep"
@@ -213,8 +219,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id are one document and stay or go together; rows without an id stay.
     """
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF
+from pyspark.sql import functions as F
 
 from scholium.llm import components, debruijn, decontaminate, simhash, suffix_dedup, suffixes, windows
 
@@ -94,8 +95,8 @@ def test_links_connect_what_pairs_connect(spark):
         prints.add(p)
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    classes = spark.createDataFrame(list(enumerate(signed)), "rep long, fp long").select("fp", "rep")
-    want = plain_components(range(len(prints)), prints)
+    classes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = plain_components(signed, prints)
     for limit in (1 << 15, 8):
         found = {r["node"]: r["component"] for r in components.components(simhash.links(classes, limit)).collect()}
         assert {i: found.get(i, i) for i in want} == want
@@ -118,6 +119,28 @@ def test_components_of_a_long_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_link_like_others(spark):
+    """A row without an id may be the only bridge between two others, or have no id in reach."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    near = [words, words[:-1] + ["x"], words[:-2] + ["y", "z"]]
+    texts = [*(" ".join(w) for w in near), "alone " * 9, "alone " * 9, "another lonely text of words"]
+    ids = [None, 7, 4, None, None, 9]
+    prints = [plain_fingerprint(t) for t in texts]
+    group = plain_components(range(len(texts)), prints)
+    want = [min((i for i, g in zip(ids, group.values()) if g == group[n] and i is not None), default=None) for n in range(len(texts))]
+    got = simhash.near_duplicates(frame(spark, texts, ids)).collect()
+    assert sorted(map(str, ((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got))) == sorted(map(str, zip(ids, prints, want)))
+    assert group[0] == group[1] and want[3] is None
+
+
+def test_keep_one_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 5, 6), (None, "a b c d", 5, 6)], "_dropped long, text string, component_id long, doc_id long")
+    docs = docs.select(F.col("_dropped").alias("doc_id"), "text", F.col("doc_id").alias("_dropped"), "component_id")
+    kept = simhash.keep_one(docs)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"] and kept.columns == docs.columns
+
+
 def test_keep_one_of_each_group(spark):
     texts = ["a b c d e f g", "a b c d e f g", "quite another text of seven words"]
     kept = simhash.keep_one(frame(spark, texts))
