@@ -335,6 +335,27 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(frame(spark, texts).limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_and_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    one, two = "alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda my ny"
+    bench = spark.createDataFrame([(None, one), (5, two), (6, "single")], "item_id long, text string")
+    texts = [f"x {one} y", two, f"{one} {two}", "a single word", "nothing of it"]
+    got = {(r["doc_id"], r["item_id"], r["start_word"], r["end_word"]) for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    assert got == {(0, None, 1, 7), (1, 5, 0, 7), (2, None, 0, 6), (2, 5, 6, 13), (3, 6, 1, 2)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(frame(spark, texts), bench).collect()] == [4]
+
+
+def test_a_long_item_and_a_long_text():
+    rnd = random.Random(6)
+    long = [f"w{rnd.randrange(300)}" for _ in range(3000)]
+    items = decontaminate.Items([(1, " ".join(long)), (2, "p q r s t")])
+    edited = [w if rnd.random() > 0.1 else "z" for w in long]
+    text = " ".join([*(f"f{i}" for i in range(70_000)), *edited, "p q r s t"])
+    got = {(d, i): (a, b) for d, i, a, b, _ in decontaminate.matches(items, ["", text, None])}
+    assert set(got) == {(1, 0), (1, 1)} and got[1, 1] == (73_000, 73_005)
+    assert abs(got[1, 0][0] - 70_000) < 10
+
+
 # pipeline
 
 
