@@ -7,7 +7,10 @@ and a logistic span classifier is fitted to the resulting posteriors. Spans that
 added to the base ones, which always stay.
 
 Defined cases: a null or empty text has no spans. Repeated rows are judged row by row. An empty table gives an
-empty result; other columns are ignored. Texts are read whole. Spans are in code points, their end exclusive.
+empty result; other columns are ignored. Texts are read whole, and a span has no longest length. Spans are in code
+points, their end exclusive. Base spans of different kinds may overlap and all stay; a further proposal that touches
+a base span or an earlier proposal is left out. When spans are masked, the one that begins first names the mask, of
+equal begins the shorter.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Proposals beyond the base patterns.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]{1,63})+")
+_AT = re.compile(r" ?[(\[]at[)\]] ?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]+)+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9.+-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 _ONE_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 _SECRET = re.compile(r"(?:password|passwd|secret|token|api_key) ?= ?\"?[^\s\"]{6,}|\bAKIA[0-9A-Z]{16}\b")
@@ -79,6 +83,19 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with (at) and (dot), found from their sign outwards, so a long one costs no more than its length."""
+    last = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            last = domain.end()
+            yield start, last
+
+
 def _ip_valid(found: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
 
@@ -104,7 +121,8 @@ def _matches(text: str) -> dict[str, list[tuple[int, int, bool]]]:
     return out
 
 
-def _votes(kind: str, text: str, start: int, end: int, valid: bool) -> tuple[int, ...]:
+def _votes(kind: str, text: str, start: int, end: int, valid: bool | None) -> tuple[int, ...]:
+    """Each labeler's vote; ``valid`` is None where nothing in the span can be checked."""
     found = text[start:end]
     before = text[max(0, start - 40) : start]
     around = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
@@ -121,7 +139,7 @@ def _votes(kind: str, text: str, start: int, end: int, valid: bool) -> tuple[int
         known = NO if found.startswith(("0.", "127.", "255.")) else ABSTAIN
     else:
         known = YES if any(c.isdigit() for c in found) else NO
-    return (YES if valid else NO, YES if around else NO, context, known)
+    return (ABSTAIN if valid is None else YES if valid else NO, YES if around else NO, context, known)
 
 
 def pattern_code(kind: str, votes: Sequence[int]) -> int:
@@ -146,25 +164,30 @@ def propose(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int
     out = [
         (KINDS.index(k), s, e, pattern_code(k, _votes(k, text, s, e, ok)), ok) for k, v in matches.items() for s, e, ok in v
     ]
-    taken = [(s, e) for v in base.values() for s, e in v]
-
-    def more(kind: str, found: Iterator[re.Match[str]]) -> None:
-        for m in found:
-            s, e = m.span()
-            if not any(s < b and a < e for a, b in taken):
-                taken.append((s, e))
-                out.append((KINDS.index(kind), s, e, pattern_code(kind, _votes(kind, text, s, e, True)), False))
+    taken = sorted((s, e) for v in base.values() for s, e in v)
+
+    def more(kind: str, found: Iterator[tuple[int, int]], valid: bool | None) -> None:
+        nonlocal taken
+        new: list[tuple[int, int]] = []
+        reach, n = 0, 0  # where the taken spans that begin before this one end
+        for s, e in found:
+            while n < len(taken) and taken[n][0] < e:
+                reach = max(reach, taken[n][1])
+                n += 1
+            if reach <= s:
+                new.append((s, e))
+                out.append((KINDS.index(kind), s, e, pattern_code(kind, _votes(kind, text, s, e, valid)), False))
+        taken = sorted(taken + new)
 
     # a number that its neighbours' digits were read into
-    for s, e, ok in matches["card"]:
-        if not ok:
-            more("card", (m for m in _ONE_CARD.finditer(text, s, e) if luhn(m[0])))
+    misread = [(s, e) for s, e, ok in matches["card"] if not ok]
+    more("card", (m.span() for s, e in misread for m in _ONE_CARD.finditer(text, s, e) if luhn(m[0])), True)
     if "at)" in text or "at]" in text:
-        more("email", _SPELLED.finditer(text))
+        more("email", _spelled(text), None)
     if _DIGIT.search(text):
-        more("phone", _LOCAL_PHONE.finditer(text))
+        more("phone", (m.span() for m in _LOCAL_PHONE.finditer(text)), None)
     if "=" in text or "AKIA" in text:
-        more("secret", _SECRET.finditer(text))
+        more("secret", (m.span() for m in _SECRET.finditer(text)), None)
     return base, out
 
 
@@ -225,7 +248,7 @@ def accepted(beta: np.ndarray) -> frozenset[int]:
     """
     codes = np.arange(len(KINDS) * 3 ** len(LABELERS))
     good = codes[_features(codes) @ beta >= 0].tolist()
-    return frozenset(c for c in good if decode_pattern(c)[1][0] == YES)
+    return frozenset(c for c in good if decode_pattern(c)[1][0] != NO)
 
 
 _PROPOSALS = "array<struct<kind:int,start:int,end:int,code:int,base:boolean>>"
