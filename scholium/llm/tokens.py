@@ -1,12 +1,14 @@
 """Token counts behind a digest cache.
 
-A text is known by the SHA-256 digest of its normalised content (a null is the empty text; nothing that could
-change a count is altered) and of the tokenizer file. Stored counts are joined by that key; only distinct
-texts without one are encoded, and their counts are appended to the cache, a Parquet folder.
+A text is known by the SHA-256 digest of its normalised content and of the tokenizer file. The only normalisation is
+that a null is the empty text: the tokenizers tell apart case, white space and Unicode forms, so any other would give
+a text the count of another one. Stored counts are joined by that key; only distinct texts without one are encoded,
+and their counts are appended to the cache, a Parquet folder that outlives the query.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens. Repeated rows keep their number. An empty table
-gives an empty result; other columns are ignored. Texts are encoded whole. The cache has one writer at a time;
-an append that fails leaves nothing behind, as Spark commits it as one job, and is repeated by the next run.
+gives an empty result; other columns are ignored. Texts are encoded whole. Two writers may store the same digest
+twice; it is read as one. An append that fails leaves nothing behind, as Spark commits it as one job, and is repeated
+by the next run.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm.bpe import byte_characters, default_path
-from scholium.llm.common import id_text, materialize, new_path, table
+from scholium.llm.common import id_text, materialize, shared_dir, table
 
 LIMIT = 512
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -108,11 +110,17 @@ def _stored(spark: SparkSession, cache: str) -> DataFrame:
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """(digest, n_tokens) of one tokenizer, each digest once."""
+    return _stored(spark, cache).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Bytes and tokens of each text. ``cache`` is a folder shared by all machines; without one a new one is made."""
+    """Bytes and tokens of each text. ``cache`` is a folder shared by all machines; without one it is ``token-counts``
+    beside the intermediate tables, where the next query finds what this one stored."""
     spark = docs.sparkSession
     path = path or default_path()
-    cache = cache or new_path(spark, "token-cache")
+    cache = cache or f"{shared_dir(spark)}/token-counts"
     version = tokenizer_version(path)
     keyed = id_text(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
     sizes = materialize(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
@@ -125,12 +133,11 @@ def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = N
                 counts = count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
-    known = _stored(spark, cache).filter(F.col("version") == version)
+    known = _known(spark, cache, version)
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     counted = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    now = _stored(spark, cache).filter(F.col("version") == version)
-    return sizes.join(now, "digest").select(
+    return sizes.join(_known(spark, cache, version), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
