@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scholium.operators import graph
-from scholium.plans.ingest import graph_from_items
+from scholium.plans.ingest import ingest_items
 from scholium.sources import readers, sinks
 
 NAMES = ("industry_share_by_venue", "top_institutions_by_venue", "country_strategy_heatmap", "coauthor_neighborhood")
@@ -35,7 +35,15 @@ def run_query(spark: SparkSession, folder: str, args: argparse.Namespace):
         return graph.top_institutions(affiliated, authored, papers, institutions, args.venue or "", args.year, args.top_k, args.mode).orderBy("rank")
     if args.name == NAMES[2]:
         return graph.country_heatmap(collaborations, institutions, args.year, args.min_papers).orderBy(F.desc("papers"), "country_a", "country_b")
-    return graph.neighborhood(coauthors, F.lit(args.author_id), hops=args.hops).orderBy("hop", "author_id")
+    center = args.author_id or author_of(spark, folder, args.author_name or "")
+    return graph.neighborhood(coauthors, F.lit(center), hops=args.hops).orderBy("hop", "author_id")
+
+
+def author_of(spark: SparkSession, folder: str, name: str) -> str | None:
+    """Smallest id of the authors one of whose names holds ``name``, whatever its case."""
+    authors = readers.open_graph(spark, folder)["author"]
+    known = authors.filter(F.exists("name_variants", lambda x: F.contains(F.lower(x), F.lit(name.lower()))))
+    return known.agg(F.min("canonical_id")).first()[0] if name else None
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,7 +60,8 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--top-k", type=int, default=20)
     query.add_argument("--min-papers", type=int, default=1)
     query.add_argument("--author-id")
-    query.add_argument("--hops", type=int, default=2, choices=(1, 2))
+    query.add_argument("--author-name", help="used where no --author-id is given")
+    query.add_argument("--hops", type=int, default=1, choices=(1, 2))
     query.add_argument("--mode", default="per_paper", choices=("per_paper", "reference"))
     return out
 
@@ -62,10 +71,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("scholium").getOrCreate()
     if args.command == "ingest":
         items, bad = readers.read_work_items(spark, args.items)
-        tables = graph_from_items(items)
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{args.graph}/{name}")
+        ingest_items(items, args.graph)
         print(f"{items.count()} items, {bad.count()} bad lines")
+        stored = readers.open_graph(spark, args.graph)
+        print(", ".join(f"{stored[name].count()} {name}" for name in ("paper", "author", "institution", "venue")))
         return
     found = run_query(spark, args.graph, args)
     print(sinks.ascii_table(found, found.columns, limit=200))

@@ -86,6 +86,52 @@ def graph_from_items(items: DataFrame) -> dict[str, DataFrame]:
     return {name: _typed(spark, name, built.get(name)) for name in GRAPH}
 
 
+#: Key of each node table.
+NODE_KEYS = {"author": "canonical_id", "paper": "doi", "institution": "ror_id", "venue": "key", "evidence": "evidence_id"}
+EDGES = ("authored", "affiliated_at", "published_at")
+
+
+def merged(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A stored graph and a later one as one: the graph of all their items.
+
+    Of a node the later properties count, and an author's name variants add up; edges are distinct. Co-author edges
+    are made anew for the papers of the later graph only, whose authors may have grown; collaborations are counted
+    again over distinct papers. Merging a graph into itself changes nothing.
+    """
+    out = dict(old)
+    for name, key in NODE_KEYS.items():
+        rows = graph.upsert_nodes(old[name].withColumn("_seq", F.lit(0)), new[name].withColumn("_seq", F.lit(1)), key, "_seq")
+        if name == "author":
+            names = old[name].union(new[name].select(old[name].columns)).groupBy(key).agg(
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("name_variants")))).alias("name_variants")
+            )
+            rows = rows.drop("name_variants").join(names, key)
+        out[name] = rows.select(old[name].columns)
+    for name in EDGES:
+        out[name] = graph.upsert_edges(old[name], new[name])
+    for name in ("topic", "about", "child_of"):
+        if name in old:
+            out[name] = old[name].union(new[name]).distinct()
+    touched = new["authored"].select("paper_id").distinct()
+    again = graph.coauthors(out["authored"].join(touched, "paper_id", "left_semi"), out["published_at"].select("paper_id", "year").distinct())
+    again = again.select(F.col("a").alias("src"), F.col("b").alias("dst"), "paper_id", "year")
+    out["coauthored_with"] = old["coauthored_with"].union(again.select(old["coauthored_with"].columns)).distinct()
+    affiliated = out["affiliated_at"].select("paper_id", F.col("ror_id").alias("inst_id"), "year")
+    counted = graph.collaborations(affiliated).select(F.col("a").alias("src"), F.col("b").alias("dst"), "year", "papers_count")
+    out["collaborated_with"] = _typed(counted.sparkSession, "collaborated_with", counted)
+    return out
+
+
+def ingest_items(items: DataFrame, folder: str) -> None:
+    """Merge work items into the graph in ``folder``, which may not exist yet, as its next generation."""
+    from scholium.sources import generations, readers, sinks
+
+    spark = items.sparkSession
+    known = generations.children(spark, folder, "generation")
+    tables = merged(readers.open_graph(spark, folder), graph_from_items(items))
+    sinks.write_graph(tables, folder, known[-1] + 1 if known else 0)
+
+
 def default_plan() -> dict:
     """The plan used where no planner answers."""
     return {"parsers": ["pymupdf"], "extractors": ["header", "email_domain"], "verification_depth": "light"}

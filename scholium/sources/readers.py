@@ -100,9 +100,13 @@ def read_judgments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def open_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The graph's tables, empty and typed where none is stored yet."""
+    """The graph's tables of the last complete generation, empty and typed where none is stored yet."""
     from pyspark.errors import AnalysisException
 
+    from scholium.sources import generations
+
+    whole = generations.complete(spark, folder)
+    folder = f"{folder}/generation={whole[-1]}" if whole else folder
     out = {}
     for name, schema in GRAPH.items():
         try:

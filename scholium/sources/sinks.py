@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.operators.state import upsert
+from scholium.sources import generations
 
 
 def write_report(flat: DataFrame, summary: DataFrame, folder: str, stamp: str) -> None:
@@ -18,8 +19,12 @@ def write_report(flat: DataFrame, summary: DataFrame, folder: str, stamp: str) -
 
 def write_graph(tables: dict[str, DataFrame], folder: str, generation: int) -> None:
     """Every table of the graph as one generation; readers take the last complete one, so a failed write is unseen."""
+    spark = None
     for name, table in tables.items():
+        spark = table.sparkSession
         table.write.mode("overwrite").parquet(f"{folder}/generation={generation}/{name}")
+    if spark:
+        generations.commit(spark, folder, generation)
 
 
 def write_predictions(rows: DataFrame, folder: str) -> None:

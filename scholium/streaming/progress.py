@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.operators.state import upsert
+from scholium.sources import generations
 
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -55,32 +56,48 @@ def budget(charges: DataFrame) -> DataFrame:
     )
 
 
-def upsert_sink(path: str, keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
+BUCKETS = 32
+
+
+def upsert_sink(path: str, keys: list[str], seq: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that folds each batch into a table by key.
 
-    Each batch writes a new generation from the last one of a smaller batch number, so a replay writes the same
-    generation again and nothing is counted twice.
+    The table is cut into buckets by a hash of the key; a batch rewrites the buckets it touches, each from its last
+    state of a smaller batch number, so a replay writes the same states again and nothing is counted twice. Of each
+    bucket the last two states stay.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        older = []
-        if fs.exists(fs_path):
-            names = (s.getPath().getName() for s in fs.listStatus(fs_path))
-            older = [int(n.split("=")[1]) for n in names if n.startswith("epoch=")]
-        last = max((e for e in older if e < epoch), default=None)
-        rows = batch if last is None else spark.read.schema(batch.schema).parquet(f"{path}/epoch={last}").unionByName(batch)
-        upsert(rows, keys, seq).select(batch.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        held = rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # ``buckets`` rows at most
+        states = _states(spark, path, epoch)
+        older = [f"{path}/epoch={states[b][-1]}/_bucket={b}" for b in touched if b in states]
+        if older:
+            kept = spark.read.schema(batch.schema).option("basePath", path).parquet(*older)
+            kept = kept.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            rows = rows.unionByName(kept.select(rows.columns))
+        new = upsert(rows, ["_bucket", *keys], seq).select(*batch.columns, "_bucket").repartition("_bucket")
+        new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
+        held.unpersist()
+        for b in touched & states.keys():
+            for old in states[b][:-1]:
+                generations.delete(spark, f"{path}/epoch={old}/_bucket={b}")
 
     return write
 
 
+def _states(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
+    """Numbers of the batches that hold each bucket, in order, of whole batches before the given one."""
+    out: dict[int, list[int]] = {}
+    for epoch in generations.children(spark, path, "epoch"):
+        if (before is None or epoch < before) and generations.exists(spark, f"{path}/epoch={epoch}/_SUCCESS"):
+            for bucket in generations.children(spark, f"{path}/epoch={epoch}", "_bucket"):
+                out.setdefault(bucket, []).append(epoch)
+    return out
+
+
 def read_generation(spark: SparkSession, path: str) -> DataFrame:
-    """The last generation that ``upsert_sink`` wrote."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    last = max(int(n.split("=")[1]) for n in names if n.startswith("epoch="))
-    return spark.read.parquet(f"{path}/epoch={last}")
+    """The table that ``upsert_sink`` wrote: the last state of each bucket."""
+    folders = [f"{path}/epoch={epochs[-1]}/_bucket={b}" for b, epochs in _states(spark, path).items()]
+    return spark.read.parquet(*folders)
