@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholium.sources.scratch import scratch
+
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str, seq: str = "ingest_seq") -> DataFrame:
     """Per key the last value that is set of each property; unset ones survive. Repeating an upsert changes nothing."""
@@ -179,8 +181,12 @@ def components(edges: DataFrame) -> DataFrame:
     to the smallest of them. The rounds end when they change no edge; their number grows with the logarithm of the
     longest path.
     """
-    durable = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    kept = (lambda df: df.checkpoint()) if durable else (lambda df: df.cache())
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(df.sparkSession, "components")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     now, before = kept(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()), None
     while True:
         state = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions.fuzzy import jaro_winkler, token_sort, token_sort_ratio
 from scholium.functions.text import norm_name
+from scholium.operators.forecast import row_numbers
 from scholium.operators.graph import components
 
 
@@ -24,7 +25,7 @@ def union_specialists(parts: dict[str, DataFrame]) -> DataFrame:
 def ordered_distinct(df: DataFrame, value: str, pos: str) -> DataFrame:
     """Each value at its first position, numbered in that order."""
     first = df.groupBy(value).agg(F.min(pos).alias("first"))
-    return first.select(value, F.row_number().over(Window.orderBy("first")).alias("place"))
+    return row_numbers(first, "first", value, "place").select(value, "place")
 
 
 def hinted_order(rows: DataFrame, country: object, key: str, query: str) -> DataFrame:
@@ -63,24 +64,67 @@ def enrich(rows: DataFrame, extra: DataFrame, columns: list[str]) -> DataFrame:
     return joined.withColumns(filled).select(rows.columns)
 
 
+def _stretches(text: str) -> Column:
+    """All stretches of one to three characters of a text, and the empty one."""
+    n = F.length(text)
+    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))) for k in (1, 2, 3)]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))
+
+
+def _containing(holders: DataFrame, held: DataFrame, holder: str, inner: str, whole_words: bool = False) -> DataFrame:
+    """Rows of both where ``holder`` holds ``inner``: they meet by its first word or first three characters."""
+    if whole_words:
+        words, first = F.split(F.col(holder), " "), F.element_at(F.split(F.col(inner), " "), 1)
+        inside = F.contains(F.concat(F.lit(" "), holder, F.lit(" ")), F.concat(F.lit(" "), inner, F.lit(" ")))
+        left = holders.withColumn("_block", F.explode(F.array_distinct(words)))
+    else:
+        first, inside = F.substring(inner, 1, 3), F.contains(holder, F.col(inner))
+        left = holders.withColumn("_block", F.explode(_stretches(holder)))
+    return left.join(held.withColumn("_block", first), "_block").filter(inside).drop("_block")
+
+
+def _alike(texts: DataFrame, variants: DataFrame, threshold: float) -> DataFrame:
+    """(text, key, pos, canonical, score) of keys and variants whose token sort ratio reaches the threshold.
+
+    A ratio r of strings of m and n characters, white space collapsed, leaves (m + n) r / 200 characters in
+    common, so the shorter is at least r / (200 - r) of the longer, and as many characters agree whatever their
+    order. Both bounds lose nothing: the first pairs lengths by an equality join, the second is counted before the
+    comparison itself.
+    """
+    least = threshold / (200 - threshold)
+    if threshold > 100:
+        return texts.select("text", "key", F.lit(0).alias("pos"), F.lit("").alias("canonical"), F.lit(0.0).alias("score")).limit(0)
+    length = lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    own = texts.withColumn("_m", length("key"))
+    low, high = F.ceil(F.col("_m") * least - 1e-9), F.floor(F.col("_m") / max(least, 1e-3) + 1e-9)
+    spread = own.withColumn("_n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    pairs = spread.join(variants.select("pos", "variant", "canonical").withColumn("_n", length("variant")), "_n")
+    letters = lambda x: F.map_from_entries(
+        F.transform(F.array_distinct(F.split(x, "")), lambda c: F.struct(c, F.length(x) - F.length(F.replace(F.col(x), c, F.lit("")))))
+    )
+    pairs = pairs.withColumn("_a", letters("key")).withColumn("_b", letters("variant"))
+    common = F.aggregate(F.map_keys("_a"), F.lit(0), lambda s, c: s + F.coalesce(F.least(F.try_element_at(F.col("_a"), c), F.try_element_at(F.col("_b"), c)), F.lit(0)))
+    near = pairs.filter(common + 1e-9 >= (F.col("_m") + F.col("_n")) * threshold / 200).withColumn("score", token_sort_ratio("key", "variant"))
+    return near.filter(F.col("score") >= threshold).select("text", "key", "pos", "canonical", "score")
+
+
 def lookup_tiers(texts: DataFrame, variants: DataFrame, threshold: float = 80.0, whole_words: bool = False) -> DataFrame:
     """Normalise distinct texts through tiers: exact, contained either way, fuzzy, passed through.
 
-    ``texts`` is (text), ``variants`` (pos, variant, canonical) in lower case, a bounded table of known names
-    that is broadcast where Spark's size limit allows. Each tier sees what the one before missed. Within a tier
-    the first variant counts, or in the fuzzy tier the best and then first. Text shorter than
-    a block's prefix cannot hide a variant, so containment is tested on distinct texts only.
+    ``texts`` is (text), ``variants`` (pos, variant, canonical) in lower case. Each tier sees what the one before
+    missed, and pairs texts and variants by equality of something that a match must share. Within a tier the first
+    variant counts, or in the fuzzy tier the best and then first.
     """
     own = texts.select("text").distinct().withColumn("key", F.lower(F.trim("text")))
     exact = own.join(variants, own["key"] == variants["variant"]).groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical"))
     rest = own.join(exact, "text", "left_anti")
-    inside = F.contains("key", F.col("variant")) | F.contains("variant", F.col("key"))
-    if whole_words:
-        inside = F.contains(F.concat(F.lit(" "), "key", F.lit(" ")), F.concat(F.lit(" "), F.col("variant"), F.lit(" ")))
-    part = rest.join(variants, inside).groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical"))
+    known = variants.select("pos", "variant", "canonical")
+    inside = _containing(rest, known, "key", "variant", whole_words).select("text", "key", "pos", "canonical")
+    if not whole_words:
+        inside = inside.union(_containing(known, rest, "variant", "key").select("text", "key", "pos", "canonical"))
+    part = inside.groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical"))
     rest = rest.join(part, "text", "left_anti")
-    scored = rest.join(variants.select("pos", "variant", "canonical")).withColumn("score", token_sort_ratio("key", "variant"))
-    near = scored.filter(F.col("score") >= threshold).groupBy("text", "key").agg(
+    near = _alike(rest, known, threshold).groupBy("text", "key").agg(
         F.max_by("canonical", F.struct("score", -F.col("pos"))).alias("canonical"), F.max("score").alias("score")
     )
     rest = rest.join(near, "text", "left_anti")
@@ -109,9 +153,10 @@ def best_fuzzy(queries: DataFrame, names: DataFrame, least: float = 60.0) -> Dat
     return best.filter(F.col("x.score") >= least).select("block", "query", "x.name", "x.score")
 
 
-def greedy_pairs(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> DataFrame:
-    """(paper_id, pred, gold, score): each gold name at most once, predictions in order, best score first.
+def greedy_pairs(pred: DataFrame, gold: DataFrame, threshold: float = 85.0, best: bool = False) -> DataFrame:
+    """(paper_id, pred, gold, score): each gold name at most once, both sides in order of name, whatever their case.
 
+    Each prediction takes the first free gold name at or over the threshold, or with ``best`` the most similar one.
     The distinct names of one paper meet in one row; papers are the block, so the lists stay small.
     """
 
@@ -121,10 +166,12 @@ def greedy_pairs(pred: DataFrame, gold: DataFrame, threshold: float = 85.0) -> D
             for paper, preds, golds in zip(batch["paper_id"], batch["preds"], batch["golds"]):
                 free = list(golds)
                 for one in preds:
-                    best = max(((token_sort(one, n), n) for n in free), key=lambda x: x[0], default=None)
-                    if best and best[0] >= threshold:
-                        free.remove(best[1])
-                        rows.append((paper, one, best[1], best[0]))
+                    scores = ((token_sort(one.lower().strip(), n.lower().strip()), n) for n in free if one and n)
+                    fits = (x for x in scores if x[0] >= threshold)
+                    taken = max(fits, key=lambda x: x[0], default=None) if best else next(fits, None)
+                    if taken:
+                        free.remove(taken[1])
+                        rows.append((paper, one, taken[1], taken[0]))
             yield pd.DataFrame(rows, columns=["paper_id", "pred", "gold", "score"])
 
     left = pred.groupBy("paper_id").agg(F.array_sort(F.collect_set("name")).alias("preds"))

@@ -8,8 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or beside the warehouse; it goes when the application ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """A new path under ``spark.checkpoint.dir``, or beside the warehouse; it goes when the application ends.
+
+    The warehouse may be a folder of one machine, so it serves only where there is one machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared}/{name}-{uuid.uuid4().hex}")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
