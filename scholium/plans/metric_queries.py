@@ -228,9 +228,12 @@ def _systems(spark, d):
     return _scores(spark, d).join(t.papers(spark, d).select("paper_id", F.col("venue_key").alias("system")), "paper_id").groupBy("system").agg(F.avg("f1").alias("f1"))
 
 
-@query("a38_hypotheses", sql(_SCORES + _SYS + "SELECT system, CASE WHEN f1 >= 0.2 THEN 'supported' ELSE 'rejected' END AS verdict FROM sys"))
+@query("a38_hypotheses", sql(_SCORES + """, gain AS (SELECT venue_key AS system, avg(f1) - 0.2 AS gain, avg(f1) - 0.2 - 1.96 * stddev_pop(f1) / sqrt(count(*)) AS low FROM scores JOIN paper USING (paper_id) GROUP BY 1)
+SELECT system, CASE WHEN gain >= 0.01 AND low > 0 THEN 'supported' WHEN gain >= 0.01 THEN 'inconclusive' ELSE 'rejected' END AS verdict, round(gain, 9) AS gain, round(low, 9) AS low FROM gain"""))
 def _(spark, d):
-    return _systems(spark, d).select("system", m.hypothesis(F.col("f1"), F.col("f1"), 0.2).alias("verdict"))
+    s = _scores(spark, d).join(t.papers(spark, d).select("paper_id", F.col("venue_key").alias("system")), "paper_id")
+    by = s.groupBy("system").agg((F.avg("f1") - 0.2).alias("gain"), (F.avg("f1") - 0.2 - 1.96 * F.stddev_pop("f1") / F.sqrt(F.count("*"))).alias("low"))
+    return by.select("system", m.hypothesis(F.col("gain"), F.col("low"), 0.01).alias("verdict"), F.round("gain", 9).alias("gain"), F.round("low", 9).alias("low"))
 
 
 @query("a39_ablation", sql(_SCORES + _SYS + "SELECT system, round(f1 - (SELECT f1 FROM sys WHERE system = '5-low'), 9) AS delta FROM sys"))

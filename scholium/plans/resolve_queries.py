@@ -124,7 +124,7 @@ def _(spark, d):
 
 def _names(spark, d):
     a = t.authors(spark, d).select("author_id", "name")
-    g = t.gold(spark, d).filter("paper_id % 20 = 1 or aff >= 0").select("paper_id", F.col("name").alias("author_id")).distinct().join(a, "author_id")
+    g = t.gold(spark, d).select("paper_id", F.col("name").alias("author_id")).distinct().join(a, "author_id")
     p = t.predicted(spark, d).select("paper_id", F.col("name").alias("author_id")).distinct().join(a, "author_id")
     return p.select("paper_id", F.lower("name").alias("name"), "author_id"), g.select("paper_id", F.lower("name").alias("name"), F.col("author_id").alias("pos"))
 
@@ -132,7 +132,7 @@ def _names(spark, d):
 @query("j05_greedy_pairs")
 def _(spark, d):
     p, g = _names(spark, d)
-    return resolve.greedy_pairs(p, g, 100.0)
+    return resolve.greedy_pairs(p, g)
 
 
 @query("j06_first_match", sql("SELECT DISTINCT p.paper_id, lower(author.name) AS pred, lower(author.name) AS gold FROM (SELECT DISTINCT paper_id, name FROM pred) p JOIN gold g ON g.paper_id = p.paper_id AND g.name = p.name JOIN author ON author_id = p.name"))
@@ -167,11 +167,16 @@ def _(spark, d):
     return t.table(spark, d, "supplier").select("s_suppkey", resolve.name_overlap(F.col("s_name"), other).alias("overlap"))
 
 
-@query("j16_either_contains", "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_size = b.p_size AND (contains(a.p_type, b.p_type) OR contains(b.p_type, a.p_type)) WHERE a.p_partkey <= 200")
+@query("j16_either_contains", """WITH c AS (SELECT p_size, p_type, count(*) AS n FROM part GROUP BY ALL),
+m AS (SELECT a.p_size, a.p_type, sum(b.n) - 1 AS n_links FROM c a JOIN c b ON a.p_size = b.p_size AND (contains(a.p_type, b.p_type) OR contains(b.p_type, a.p_type)) GROUP BY ALL)
+SELECT p_partkey, p_size, p_type, n_links::BIGINT AS n_links FROM part JOIN m USING (p_size, p_type)""")
 def _(spark, d):
+    """Each part with its class, the size and type, and the number of other parts whose type holds its own or is held by it."""
     p = t.table(spark, d, "part").select("p_partkey", "p_size", "p_type")
-    o = p.select(F.col("p_partkey").alias("other"), "p_size", F.col("p_type").alias("o_type"))
-    return p.filter("p_partkey <= 200").join(o, "p_size").filter("p_partkey <> other").filter(resolve.either_contains(F.col("p_type"), F.col("o_type"))).select("p_partkey", "other")
+    c = p.groupBy("p_size", "p_type").agg(F.count("*").alias("n"))
+    o = c.select("p_size", F.col("p_type").alias("o_type"), F.col("n").alias("o_n"))
+    m = c.join(o, "p_size").filter(resolve.either_contains(F.col("p_type"), F.col("o_type"))).groupBy("p_size", "p_type").agg((F.sum("o_n") - 1).alias("n_links"))
+    return p.join(m, ["p_size", "p_type"]).select("p_partkey", "p_size", "p_type", "n_links")
 
 
 def _kb(spark, d):

@@ -14,9 +14,9 @@ def _docs(spark, d):
     return t.table(spark, d, "documents")
 
 
-@query("c01_norm_name", r"SELECT doc_id, regexp_replace(lower(regexp_replace(left(text, 300), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS name FROM documents")
+@query("c01_norm_name", r"SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS name FROM documents")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", x.norm_name(F.substring("text", 1, 300)).alias("name"))
+    return _docs(spark, d).select("doc_id", x.norm_name("text").alias("name"))
 
 
 @query("c02_norm_aff", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS aff FROM documents")
