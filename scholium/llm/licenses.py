@@ -5,8 +5,12 @@ template is laid where at least ``LEAST_VOTES`` of its rare words stand in place
 but ``LEAST_VOTES - 1`` of its rare places: those whose words have the highest inverse document frequency
 (counted over the whole corpus) are looked up in the file, and each of their sights names the start at which the
 template would lie. There the rare words are counted, the template's mandatory phrases must stand, and the share
-of its words found in place is its score. The frequencies only order the lookups; no start that could match is
-left out, so a text's labels do not depend on the corpus around it.
+of its words found in place is its score. The frequencies only order the lookups, words of equal frequency by their
+place in the template; no start that could match is left out, so a text's labels do not depend on the corpus around
+it.
+
+A text's score is the best of its templates' scores. Where only a base phrase stands, it is the share that the phrase
+makes up of the shortest template around it. Of equal scores of a label one counts.
 
 Defined cases: a null or empty text has no words, no labels and score 0. Repeated rows are scanned row by row.
 An empty table gives an empty result; other columns are ignored. Texts are scanned whole.
@@ -105,6 +109,11 @@ class Index:
         #: Of each template the (place, word) of its rare words, and how many of them must stand in place.
         self.rare_places = [[(at, w) for at, w in enumerate(ids) if w in self.rare] for ids in self.ids]
         self.least = [min(LEAST_VOTES, len(places)) for places in self.rare_places]
+        #: What a base phrase alone is worth.
+        self.alone = {
+            label: max((len(p) / len(t) for t in self.tokens if any(t[k : k + len(p)] == p for k in range(len(t)))), default=0.5)
+            for p, label in self.base
+        }
 
     def _ids(self, phrase: Sequence[str]) -> list[int]:
         return [self.number[w.encode()] for w in phrase]
@@ -187,7 +196,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFram
                 more = index.matches(here, idf)
                 own = {label for _, label in base}
                 starts = [s for s, _ in base]
-                score = 1.0 if base else max(more.values(), default=0.0)
+                score = max([*more.values(), *(index.alone[label] for label in own)], default=0.0)
                 rows.append(
                     (len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)),
                      ",".join(sorted(own | more.keys())), score)
