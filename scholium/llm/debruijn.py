@@ -293,3 +293,15 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, seed: int = SEED) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every word and window one by one.
+ORACLE = r"""WITH g AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM g)),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f USING (win) WHERE first < doc_id),
+per AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM g),
+kept AS (SELECT per.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY per.p) FILTER (gone.p IS NULL) AS rest
+  FROM per LEFT JOIN gone ON per.doc_id = gone.doc_id AND per.p = gone.p GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM g LEFT JOIN kept USING (doc_id)"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_substring_dedup": debruijn.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }

@@ -318,3 +318,24 @@ def remove_repeats(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every byte and window one by one: names of 1, 2, 4, ... bytes double, and 400 = 256 + 128 + 16.
+ORACLE = r"""WITH g AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+per AS (SELECT doc_id, unnest(range(1, len(bs) + 1)) AS p, unnest(bs) AS b FROM g),
+w2 AS (SELECT doc_id, p, b || lead(b, 1) OVER w AS x FROM per WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w4 AS (SELECT doc_id, p, x || lead(x, 2) OVER w AS x FROM w2 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w8 AS (SELECT doc_id, p, x || lead(x, 4) OVER w AS x FROM w4 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w16 AS (SELECT doc_id, p, x || lead(x, 8) OVER w AS x FROM w8 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w32 AS (SELECT doc_id, p, lead(x, 384) OVER w AS x16, md5(x || lead(x, 16) OVER w) AS x FROM w16 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w64 AS (SELECT doc_id, p, x16, md5(x || lead(x, 32) OVER w) AS x FROM w32 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+w128 AS (SELECT doc_id, p, x16, md5(x || lead(x, 64) OVER w) AS x FROM w64 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+k AS (SELECT doc_id, p AS i, md5(x || lead(x, 128) OVER w || lead(x, 256) OVER w || x16) AS win FROM w128 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+f AS (SELECT win FROM k WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -400) AS step FROM k SEMI JOIN f USING (win)),
+gone AS (SELECT doc_id, unnest(range(i + 400 - least(step, 400), i + 400)) AS p FROM hit),
+marked AS (SELECT per.doc_id, per.p, b, gone.p IS NOT NULL AS out FROM per LEFT JOIN gone ON per.doc_id = gone.doc_id AND per.p = gone.p),
+kept AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT before) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT out) AS rest
+  FROM (SELECT *, coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY p), false) AS before FROM marked) GROUP BY 1)
+SELECT doc_id, len(bs)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM g LEFT JOIN kept USING (doc_id)"""
