@@ -259,8 +259,11 @@ def _(spark, d):
     return m.spend(_charges(spark, d), 900).select("budget", "seq", "spent", "over")
 
 
-@query("x10_budget_replay", f"""SELECT budget, x.spent::BIGINT AS spent, x.accepted::BIGINT AS accepted FROM (SELECT budget, list_reduce(list_prepend({{'spent': 0::BIGINT, 'accepted': 0::BIGINT}},
-  list_transform(list(cost ORDER BY seq), lambda c: {{'spent': c::BIGINT, 'accepted': 1::BIGINT}})), lambda a, b: CASE WHEN a.spent + b.spent <= 900 THEN {{'spent': a.spent + b.spent, 'accepted': a.accepted + 1}} ELSE a END) AS x FROM ({_CHARGES}) GROUP BY 1)""")
+REPLAY = f"""SELECT budget, x.spent::BIGINT AS spent, x.accepted::BIGINT AS accepted FROM (SELECT budget, list_reduce(list_prepend({{'spent': 0::BIGINT, 'accepted': 0::BIGINT}},
+  list_transform(list(cost ORDER BY seq), lambda c: {{'spent': c::BIGINT, 'accepted': 1::BIGINT}})), lambda a, b: CASE WHEN a.spent + b.spent <= 900 THEN {{'spent': a.spent + b.spent, 'accepted': a.accepted + 1}} ELSE a END) AS x FROM ({_CHARGES}) GROUP BY 1)"""
+
+
+@query("x10_budget_replay", REPLAY)
 def _(spark, d):
     return m.replay(_charges(spark, d), 900)
 

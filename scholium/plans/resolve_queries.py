@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholium.operators import layout, resolve, verdict
 from scholium.plans.catalog import query
+from scholium.plans.fuzzy_sql import scored
 from scholium.sources import readers, testdata as t
 from scholium.sources.testdata import sql
 
@@ -205,7 +206,13 @@ def _(spark, d):
     return resolve.lookup_tiers(_texts(spark, d), _kb(spark, d)).join(_kb(spark, d).select("variant"), F.lower("text") == F.col("variant"), "left_semi").select("text", "canonical")
 
 
-@query("j19_fuzzy_lookup")
+@query("j19_fuzzy_lookup", f"""WITH tx AS (SELECT DISTINCT translate(n_name, 'A', 'B') AS text FROM nation),
+pairs AS (SELECT text, n_nationkey AS pos, n_name AS c, lower(n_name) AS v, lower(text) AS a, lower(n_name) AS b FROM tx, nation),
+{scored("pairs", "text, pos, c, v")},
+near AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, pos) AS turn FROM scored),
+kb AS (SELECT text, coalesce(arg_min(c, pos) FILTER (lower(text) = v), arg_min(c, pos) FILTER (contains(lower(text), v) OR contains(v, lower(text)))) AS hit FROM scored GROUP BY 1)
+SELECT text, coalesce(hit, CASE WHEN score >= 60 THEN c END, text) AS canonical, CASE WHEN hit IS NOT NULL THEN 0.95 WHEN score >= 60 THEN 0.9 * score / 100 ELSE 0.3 END::DOUBLE AS confidence,
+  CASE WHEN hit IS NOT NULL THEN 'kb' WHEN score >= 60 THEN 'fuzzy' ELSE 'none' END AS source FROM near JOIN kb USING (text) WHERE turn = 1""")
 def _(spark, d):
     names = _kb(spark, d)
     typo = names.select(F.translate("canonical", "A", "B").alias("text"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from scholium.operators import graph, metrics
 from scholium.plans.catalog import query
+from scholium.plans.fuzzy_sql import scored
 from scholium.plans.ingest import ingest_items
+from scholium.plans.metric_queries import REPLAY
 from scholium.sources import readers, sinks, testdata as t
 from scholium.sources.scratch import scratch
 from scholium.sources.testdata import sql
@@ -195,7 +197,10 @@ def _(spark, d):
     return readers.parse_works(n.select(body.alias("body"))).select("work_id", "inst", "confidence")
 
 
-@query("s14_registry_lookup")
+@query("s14_registry_lookup", f"""WITH pairs AS (SELECT x.n_regionkey AS block, 'the ' || lower(x.n_name) AS query, y.n_name AS name, 'the ' || lower(x.n_name) AS a, lower(y.n_name) AS b FROM nation x JOIN nation y USING (n_regionkey)),
+{scored("pairs", "block, query, name")},
+best AS (SELECT *, row_number() OVER (PARTITION BY block, query ORDER BY score DESC, name DESC) AS turn FROM scored)
+SELECT block, query, name, score FROM best WHERE turn = 1 AND score >= 50""")
 def _(spark, d):
     from scholium.operators.resolve import best_fuzzy
 
@@ -329,7 +334,7 @@ def _(spark, d):
     return spark.read.schema("user_id bigint, event_type string").parquet(f"{out}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("x10_stream_budget", None)
+@query("x10_stream_budget", REPLAY)
 def _(spark, d):
     from scholium.streaming.progress import budget
 

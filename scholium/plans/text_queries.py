@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholium.functions import text as x
 from scholium.functions.fuzzy import jaro_winkler, token_sort_ratio
 from scholium.plans.catalog import query
+from scholium.plans.fuzzy_sql import scored
 from scholium.sources import testdata as t
 
 
@@ -96,7 +97,8 @@ def _(spark, d):
     return counts.select("lang", x.layout_hash(F.create_map(F.lit("b"), "m", F.lit("a"), "n")).alias("layout"))
 
 
-@query("c14_token_sort_ratio")
+@query("c14_token_sort_ratio", f"""WITH pairs AS (SELECT x.p_partkey, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON x.p_partkey + 1 = y.p_partkey),
+{scored("pairs", "p_partkey")} SELECT p_partkey, score AS ratio FROM scored""")
 def _(spark, d):
     p = t.table(spark, d, "part").select("p_partkey", "p_name")
     return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").select("p_partkey", token_sort_ratio("p_name", "other").alias("ratio"))
