@@ -1,6 +1,11 @@
 """From raw documents to token digests: quality rules, near-duplicates, decontamination, personal data, tokens.
 
 Every stage but the last returns the columns of ``documents``; each works on all that the one before kept.
+
+Defined cases: a null or empty text fails the quality rules and goes. Rows that repeat an id and a text stay or go
+together; of near-duplicates the rows of the smallest id stay, and rows without an id always pass that stage. Very
+long texts go through whole. Empty tables give an empty result. Further columns of ``documents``, whatever their
+names, are carried to the last stage, which returns its own.
 """
 
 from __future__ import annotations
