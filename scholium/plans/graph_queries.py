@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scholium.operators import forecast, graph
@@ -215,3 +216,27 @@ def _(spark, d):
 @query("w10_next_year", sql("""SELECT a, b, year, papers_count, lead(papers_count) OVER (PARTITION BY a, b ORDER BY year) AS next_count FROM collab WHERE a < b"""))
 def _(spark, d):
     return forecast.next_year(graph.collaborations(t.affiliated(spark, d)).filter("a < b"))
+
+
+#: A cell of one unit, in the order of the gates: weights of input and state, and offsets.
+_UNIT = {"w": (0.5, -0.3, 0.8), "u": (0.2, 0.4, -0.6), "b": (0.1, 0.0, -0.1), "c": (0.0, 0.2, 0.05)}
+
+
+def _gate(k: int, h: str, x: str) -> str:
+    part = lambda w, o, v: f"({_UNIT[w][k]} * {v} + {_UNIT[o][k]})"
+    return part("w", "b", x), part("u", "c", h)
+
+
+def _unit_sql(h: str, x: str) -> str:
+    sigmoid = lambda k: "1 / (1 + exp(-({} + {})))".format(*_gate(k, h, x))
+    given, kept = _gate(2, h, x)
+    return f"(1 - {sigmoid(1)}) * tanh({given} + {sigmoid(0)} * {kept}) + {sigmoid(1)} * {h}"
+
+
+@query("w11_carry_state", sql(f""", f AS (SELECT a, year, sum(papers_count) / 1000 AS x FROM collab GROUP BY ALL)
+SELECT a, round(list_reduce(list_prepend(0::DOUBLE, list(x::DOUBLE ORDER BY year)), lambda h, x: {_unit_sql("h", "x")}), 6) AS state FROM f GROUP BY 1"""))
+def _(spark, d):
+    cell = forecast.Cell(*(np.array(_UNIT[k]).reshape(3, -1) if k in "wu" else np.array(_UNIT[k]) for k in "wubc"))
+    by = graph.collaborations(t.affiliated(spark, d)).groupBy(F.col("a").alias("id"), "year").agg((F.sum("papers_count") / 1000).alias("x"))
+    states = forecast.carry_states(by.select("id", "year", F.array("x").alias("x")), cell)
+    return states.groupBy(F.col("id").alias("a")).agg(F.round(F.max_by(F.get("state", F.lit(0)), "year"), 6).alias("state"))

@@ -361,3 +361,17 @@ def _(spark, d):
     by = t.papers(spark, d).groupBy("venue_key", split).agg(F.count("*").alias("n"), F.count_if(F.col("title") == "F").alias("k"))
     low, high = metrics.wilson(F.col("k"), F.col("n"))
     return by.select("venue_key", "split", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query("x09_retries", """SELECT n_name AS query, CASE WHEN k < 3 THEN 'answer ' || n_name END AS body, least(k + 1, 3)::INT AS attempts, CASE WHEN k = 3 THEN 'Busy' END AS error
+FROM (SELECT n_name, length(n_name) % 4 AS k FROM nation)""")
+def _(spark, d):
+    """A source that is busy for the first calls of a query: as many as its length leaves over four."""
+    from scholium.sources.fetch import Busy, fetched
+
+    def call(query: str, attempt: int) -> str:
+        if attempt <= len(query) % 4:
+            raise Busy(0.0)
+        return f"answer {query}"
+
+    return fetched(t.table(spark, d, "nation").select(F.col("n_name").alias("query")), call, per_second=1e6, attempts=3)

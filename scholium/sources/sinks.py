@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,27 @@ def upsert_table(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> D
 
 
 def checkpoint_totals(charges: DataFrame) -> DataFrame:
-    """Totals of spending and the records behind them, as one JSON row per budget."""
-    records = F.array_sort(F.collect_list(F.struct("seq", "model", "cost")))
-    return charges.groupBy("budget").agg(F.sum("cost").alias("total"), F.count("*").alias("calls"), records.alias("records"))
+    """Totals of spending, one row per budget."""
+    return charges.groupBy("budget").agg(F.sum("cost").alias("total"), F.count("*").alias("calls"))
+
+
+def write_checkpoint(charges: DataFrame, folder: str) -> None:
+    """Totals as JSON, and beside them the records behind them, one row each."""
+    checkpoint_totals(charges).write.mode("overwrite").json(f"{folder}/totals")
+    charges.select("budget", "seq", "model", "cost").write.mode("overwrite").json(f"{folder}/records")
+
+
+def svg_bars(rows: DataFrame, label: str, value: str, limit: int = 40, width: int = 480) -> str:
+    """A bar chart of a small table, in its order; ``limit`` bounds what comes to the driver."""
+    listed = [(escape(str(r[0])), float(r[1] or 0)) for r in rows.select(label, value).limit(limit).collect()]
+    scale = width / max([v for _, v in listed if v > 0], default=1.0)
+    bars = [
+        f'<text x="196" y="{20 * n + 15}" text-anchor="end">{name}</text><rect x="200" y="{20 * n + 3}" width="{max(0.0, v * scale):.1f}" height="15"/>'
+        f'<text x="{205 + max(0.0, v * scale):.1f}" y="{20 * n + 15}">{v:g}</text>'
+        for n, (name, v) in enumerate(listed)
+    ]
+    size = f'width="{width + 300}" height="{20 * len(listed) + 6}"'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" {size} font-size="12">{"".join(bars)}</svg>'
 
 
 def ascii_table(rows: DataFrame, columns: Sequence[str], limit: int = 50) -> str:
