@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholium.llm.common import materialize, release, table
-from scholium.llm.windows import BLOCK, Prefixes, blocks, covered, cut, keyed, with_lists
+from scholium.llm.windows import BLOCK, Prefixes, blocks, covered, cut, keyed, structs, with_lists
 
 WORDS, SEED = 50, 12
 
@@ -95,29 +96,43 @@ def _kmers(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _KMERS.split(", ")]
         seen: set[tuple[int, int]] = set()
+
+        def emit(parts: list[tuple[int, int, int, list[bytes], np.ndarray]], runs: dict[str, np.ndarray]) -> pa.RecordBatch:
+            """All k-mers of parts (id, hash, first word, words, runs) of documents, side by side."""
+            sizes = np.array([len(words) for *_, words, _ in parts])
+            values = _values(list(chain.from_iterable(words for *_, words, _ in parts)))
+            chosen = np.concatenate([mine for *_, mine in parts])
+            part = np.repeat(np.arange(len(parts)), [len(mine) for *_, mine in parts])
+            counts = runs["n"][chosen]
+            own, part = np.repeat(chosen, counts), np.repeat(part, counts)
+            off = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+            pos = runs["at"][own] + off
+            flat = pos + (np.cumsum(sizes) - sizes - np.array([lo for _, _, lo, _, _ in parts]))[part]
+            hashes = [_signed(Prefixes(values, k).runs(length)[flat]) for k in (0, 1)]
+            places = [pa.array(np.array([p[x] for p in parts], np.int64)[part]) for x in (0, 1)]
+            named = [pa.array(runs[x][own]) for x in ("h", "d")]
+            return pa.RecordBatch.from_arrays([*hashes, *named, pa.array(off), *places, pa.array(pos), pa.array(runs["last"][own])], names=names)
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, t, text, wanted = (batch.column(i)[row].as_py() for i in range(4))
+            fields = ("at", "n", "h", "d", "last")
+            ends, columns = structs(batch.column(3), fields)
+            runs, parts, size = dict(zip(fields, columns)), [], 0
+            for row, (doc, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if (doc, t) in seen:
                     continue
                 seen.add((doc, t))
-                words = split(text)
-                runs = {name: np.array([w[name] for w in wanted], np.int64) for name in ("at", "n", "h", "d", "last")}
-                for lo in range(0, len(words), BLOCK):
-                    mine = np.flatnonzero((runs["at"] >= lo) & (runs["at"] < lo + BLOCK))
-                    if not len(mine):
-                        continue
-                    counts = runs["n"][mine]
-                    own = np.repeat(mine, counts)
-                    off = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    pos = runs["at"][own] + off
-                    values = _values(words[lo : lo + BLOCK + 2 * length])
-                    hashes = [_signed(Prefixes(values, k).runs(length)[pos - lo]) for k in (0, 1)]
-                    named = [pa.array(runs[x][own]) for x in ("h", "d")]
-                    places = [pa.array(np.full(len(own), x, np.int64)) for x in (doc, t)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*hashes, *named, pa.array(off), *places, pa.array(pos), pa.array(runs["last"][own])], names=names
-                    )
+                words = split(batch.column(2)[row].as_py())
+                at = runs["at"][ends[row] : ends[row + 1]]
+                for lo in range(0, len(words), BLOCK):  # a longer document runs over several parts
+                    mine = ends[row] + np.flatnonzero((at >= lo) & (at < lo + BLOCK))
+                    if len(mine):
+                        parts.append((doc, t, lo, words[lo : lo + BLOCK + 2 * length], mine))
+                        size += len(parts[-1][3])
+                    if size >= BLOCK:
+                        yield emit(parts, runs)
+                        parts, size = [], 0
+            if parts:
+                yield emit(parts, runs)
 
     return run
 
@@ -219,26 +234,34 @@ def _finish(length: int):
     """Removal, and a digest of the words of each listed stretch: removed spans, and sources of spans elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [*[pa.int64()] * 5, pa.string()]
-        checks = pa.list_(pa.struct([(x, pa.int64()) for x in ("s", "n", "src", "st", "at")] + [("digest", pa.binary())]))
+        kinds, fields = (pa.int64(), pa.int64(), pa.string()), ("s", "n", "src", "st", "at")
         for batch in batches:
+            ends, columns = structs(batch.column(4), fields)
+            firsts, lasts = columns[0], columns[0] + columns[1] + length - 1  # of each stretch, in words
+            doc, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row_of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            removed = (columns[2] != doc[row_of]) | (columns[3] != t[row_of])
             rows, digests = [], []
-            for doc, t, text, listed in zip(*(batch.column(i) for i in (0, 1, 3, 4))):
+            for row, text in enumerate(batch.column(3)):
                 words = kept = split(text.as_py())
-                listed, mine, own = listed.as_py() or [], [], (doc.as_py(), t.as_py())
-                for x in listed:
-                    passage = b" ".join(words[x["s"] : x["s"] + x["n"] + length - 1])
-                    mine.append({**x, "digest": hashlib.blake2b(passage, digest_size=16).digest()})
-                spans = [(x["s"], x["s"] + x["n"]) for x in listed if (x["src"], x["st"]) != own]
-                if spans:
-                    starts, ends = np.array(spans, np.int64).T
-                    gone = covered(len(words), starts, ends, length)
-                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                digests.append(mine)
+                a, b = ends[row], ends[row + 1]
+                if a < b:
+                    joined = b" ".join(words)
+                    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    begins = np.concatenate(([0], stops))[firsts[a:b]].tolist()
+                    digests += [
+                        hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in zip(begins, (stops[lasts[a:b] - 1] - 1).tolist())
+                    ]
+                    gone = removed[a:b]
+                    if gone.any():
+                        out = covered(len(words), firsts[a:b][gone], (lasts[a:b] - length + 1)[gone], length)
+                        kept = list(compress(words, (~out).tolist()))
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds[3:])]
+            checks = pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=[*fields, "digest"])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), checks)
+            results = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *columns, pa.array(digests, checks)],
+                [*(batch.column(i) for i in range(3)), *results, listed],
                 names=["doc", "t", "doc_id", "n_words", "n_removed", "kept_sha256", "checks"],
             )
 

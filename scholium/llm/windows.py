@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +171,13 @@ def ranges(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return both.field(0).to_numpy(zero_copy_only=False), both.field(1).to_numpy(zero_copy_only=False)
 
 
+def structs(lists: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of structs: where each row's entries begin in the flat arrays (and end, at the next), and the fields."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = lists.flatten()
+    return np.concatenate(([0], ends)), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def with_lists(base: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
     """Rows of ``keyed`` with what is listed for them by (doc, t); the texts are shuffled once, by content."""
     return base.join(lists.hint("shuffle_hash"), ["doc", "t"], how)
