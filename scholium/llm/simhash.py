@@ -40,6 +40,8 @@ KEYS = [(i, s) for i in range(SEGMENTS) for s in (2, 3, 4)]
 LEVELS = 6
 #: Members of a bucket that one task compares; larger buckets are split.
 BUCKET = 1 << 12
+#: Classes with more than this part of all rows are joined apart.
+HOT = 200
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
 
@@ -202,14 +204,19 @@ def links(classes: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
     """One row per document: fingerprint, the component it belongs to, and its class's smallest id."""
     prints = materialize(fingerprints(docs), "simhash-fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "simhash-classes")
     found = components(links(classes, bucket_limit))
     linked = classes.join(found, classes["fp"] == found["node"]).select("component", "fp", "rep")
     named = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("fp", "component_id")
     labelled = classes.join(named.withColumn("linked", F.lit(True)), "fp", "left").select(
-        "fp", "rep", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
+        "fp", "rows", "rep", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
     )
-    return prints.join(labelled, "fp").select(
+    labelled = materialize(labelled, "simhash-labelled")
+    # a class with more than 1 / HOT of all rows would land in one task; there are fewer than HOT of them
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(labelled.filter(F.col("rows") * HOT > total))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(labelled, "fp")
+    return cold.unionByName(prints.join(hot, "fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rep"
     )
 
