@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm.common import materialize, release, table
 from scholium.llm.suffixes import common_prefixes, suffix_array
-from scholium.llm.windows import RANGES, blocks, covered, cut, keyed, mix, ranges, with_lists
+from scholium.llm.windows import RANGES, blocks, covered, cut, keyed, mix, ranges, structs, with_lists
 
 LENGTH, SEED, STEP = 400, 160, 32
 #: Blocks of one core in a shard; more are spread over several shards and merged.
@@ -80,26 +80,25 @@ def _blocks(length: int, step: int):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
-            for row in range(batch.num_rows):
-                doc, t, text, wanted = (batch.column(i)[row].as_py() for i in range(4))
-                if (doc, t) in seen:
-                    wanted = []
+            ends, fields = structs(batch.column(3), ("at", "n", "place", "h", "d", "need"))
+            fields = [f.tolist() for f in fields]
+            for row, (doc, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if (doc, t) not in seen:
+                    raw = _raw(batch.column(2)[row].as_py())
+                    for at, n, place, h, d, need in zip(*(f[ends[row] : ends[row + 1]] for f in fields)):
+                        nearest, furthest = place - n + 1, place
+                        for k in range(nearest // step, furthest // step + 1):
+                            low, high = max(nearest - k * step, 0), min(furthest - k * step, step - 1)
+                            begin = at + place - k * step  # where the core begins
+                            end = begin - (step - 1) + length
+                            core = xxhash.xxh3_128_intdigest(raw[begin:end], seed=k)
+                            rows.append(
+                                (
+                                    (core >> 64) - (1 << 63), (core & ((1 << 64) - 1)) - (1 << 63), h, d, low, begin - at,
+                                    raw[begin - high : begin], raw[end : end + step - 1 - low], need,
+                                )
+                            )
                 seen.add((doc, t))
-                raw = _raw(text)
-                for w in wanted:
-                    place = w["at"] + w["place"]
-                    nearest, furthest = place - (w["at"] + w["n"] - 1), place - w["at"]
-                    for k in range(nearest // step, furthest // step + 1):
-                        low, high = max(nearest - k * step, 0), min(furthest - k * step, step - 1)
-                        begin = place - k * step  # where the core begins
-                        end = begin - (step - 1) + length
-                        core = xxhash.xxh3_128_intdigest(raw[begin:end], seed=k)
-                        rows.append(
-                            (
-                                (core >> 64) - (1 << 63), (core & ((1 << 64) - 1)) - (1 << 63), w["h"], w["d"], low, begin - w["at"],
-                                raw[begin - high : begin], raw[end : end + step - 1 - low], w["need"],
-                            )
-                        )
                 if len(rows) >= 20_000 or row == batch.num_rows - 1:
                     columns = list(zip(*rows)) or [()] * len(names)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)

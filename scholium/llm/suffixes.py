@@ -8,22 +8,27 @@ import numpy as np
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank of each suffix) of integers, by refinement of groups with doubled depth.
 
-    Suffixes are grouped by their first symbol; each round orders the members of groups not yet single by the
-    group of what follows ``depth`` symbols later, and doubles the depth. Sorted suffixes are never touched
-    again. The end of the sequence is smaller than any symbol.
+    Suffixes are grouped by their first symbols, as many of them as one word holds; each round orders the members
+    of groups not yet single by the group of what follows ``depth`` symbols later, and doubles the depth. Sorted
+    suffixes are never touched again. The end of the sequence is smaller than any symbol; symbols are not negative.
     """
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = int(symbols.max() + 1).bit_length()
+    depth = max(1, min(4, 62 // bits))
+    padded = np.concatenate([symbols + 1, np.zeros(depth, np.int64)])
+    first = np.zeros(n, np.int64)
+    for k in range(depth):
+        first = (first << bits) | padded[k : k + n]
+    order = np.argsort(first, kind="stable")
     ranks = np.empty(n + 1, np.int64)
     ranks[n] = -1
-    if not n:
-        return order, ranks[:0]
-    new = np.concatenate(([True], symbols[order[1:]] != symbols[order[:-1]]))
+    new = np.concatenate(([True], first[order[1:]] != first[order[:-1]]))
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     ranks[order] = heads
     single = new & np.append(new[1:], True)
     open_places = np.flatnonzero(~single)
-    depth = 1
     while len(open_places):
         members = order[open_places]
         group = ranks[members]
