@@ -1,8 +1,10 @@
-"""The ten corpus queries by name, and SQL for those that SQL expresses."""
+"""The corpus queries by name, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
-from scholium.llm import bpe, debruijn, decontaminate, html_text, licenses, pii, quality, simhash, suffix_dedup, tokens
+from scholium.llm import (
+    bpe, conversations, debruijn, decontaminate, html_text, licenses, pii, quality, simhash, suffix_dedup, tokens,
+)
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,10 +17,12 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_substring_dedup": debruijn.query,
     "op10_quality_rules": quality.query,
+    "op11_conversation_repair": conversations.query,
 }
 
 ORACLES = {
     "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op9_substring_dedup": debruijn.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
 }
