@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scholium.llm import (
-    bpe, conversations, debruijn, decontaminate, html_text, licenses, pii, quality, simhash, suffix_dedup, tokens,
+    bpe, clustering, conversations, debruijn, decontaminate, html_text, licenses, minhash, pii, quality, simhash, suffix_dedup, tokens,
 )
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_substring_dedup": debruijn.query,
     "op10_quality_rules": quality.query,
     "op11_conversation_repair": conversations.query,
+    "op12_centroid_clusters": clustering.query,
+    "op13_minhash": minhash.query,
 }
 
 ORACLES = {
@@ -25,4 +27,6 @@ ORACLES = {
     "op9_substring_dedup": debruijn.ORACLE,
     "op10_quality_rules": quality.ORACLE,
     "op11_conversation_repair": conversations.ORACLE,
+    "op12_centroid_clusters": clustering.ORACLE,
+    "op13_minhash": minhash.ORACLE,
 }
