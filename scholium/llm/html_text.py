@@ -6,11 +6,16 @@ say how likely a child of its kind is content below a content or other parent. S
 upward from the leaves and downward from the root; nodes whose marginal is above one half make up the text.
 
 Potentials are counted on labelled pages: of a bounded sample (``TRAIN_PAGES``) of pages that mark their
-article, the nodes in it but not in boilerplate are content. The mark itself, which gives the labels, is no trained
+article, the nodes in it but not in boilerplate elements are content; what stands at or below a class of boilerplate there
+has no label and is not counted. The mark itself, which gives the labels, is no trained
 evidence: its weight is a fixed prior, and kinds, class words, links, lengths and edges are learned without it. The
 tests score the model on held-out pages whose marks were taken away. Prior counts stand for kinds that the sample
 lacks.
 
+Class, id and role words are evidence, not a verdict. A token made of boilerplate and layout words alone
+("related-posts") speaks against its element and puts what is below in doubt; boilerplate words beside others
+("related-work"), or vague ones in an id, are a weak sign; a heading's id repeats its text and says nothing.
+
 Defined cases: a null or empty page, or one without content, has the empty text. Repeated rows are extracted
 row by row and count once in training; an empty table gives an empty result; other columns are ignored. Pages are read whole. Broken
 markup is read as browsers do: unclosed elements end with their parent, stray end tags are ignored.
@@ -41,7 +46,8 @@ _TAG = re.compile(
     r"(?P<attrs>(?:\s++|/|[^\s\"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+|[\"'=])*+)(?P<close>>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: One attribute with its value, so that nothing inside a value is read as a name.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?+")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
 #: Element names by kind, as the HTML standard uses them.
@@ -62,18 +68,25 @@ CLOSES = {
     "tr": {"tr", "td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
 }
 CONTAINERS = frozenset("ul ol dl table select body div section article".split())
-#: Class and id words of boilerplate and of content.
+#: Class and id words of boilerplate, those of them that also name parts of an article, and of layout.
 BAD = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "sidebar aside footer comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
-    "recommendations breadcrumb breadcrumbs pagination pager widget toolbar login search form copyright legal disclaimer "
-    "masthead topbar skip teaser outbrain taboola".split()
+    "recommendations breadcrumb breadcrumbs pagination pager toolbar login search form copyright legal disclaimer "
+    "masthead topbar skip teaser outbrain taboola contentinfo complementary".split()
+)
+VAGUE = frozenset("alert banner comment discussion form legal menu notice notices promotion related reply search share sharing social teaser".split())
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons col column container content group icons inner item items left line link links list "
+    "main outer page panel post posts right row section site slot title top unit widget wrap wrapper".split()
 )
 GOOD = frozenset("article content post entry story main body text prose".split())
 LENGTHS, LINKS = (1, 25, 80, 250), (0.05, 0.33, 0.66)
 #: How far one kind of evidence can move the log odds, down and up.
-CAPS = {"kind": (-6.0, 2.0), "class": (-6.0, 3.0), "section": (-6.0, 4.0), "links": (-2.0, 2.0), "length": (-1.5, 1.5)}
+CAPS = {"kind": (-6.0, 2.0), "class": (-4.0, 3.0), "section": (-6.0, 4.0), "links": (-2.0, 2.0), "length": (-1.5, 1.5)}
+#: Prior log odds in and below elements of boilerplate, and at and below a class of boilerplate.
+BOILERPLATE, DOUBT = -9.0, -7.0
 
 
 @dataclass
@@ -89,20 +102,40 @@ class Node:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _class_kind(name: str, attrs: str) -> str:
-    if not attrs:
-        return "none"
-    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)]
-    if any(k == "hidden" or (k == "aria-hidden" and v.lower() == "true") for k, v in found):
-        return "bad"
-    words = {w for k, v in found if k in ("class", "id", "role") for w in _WORD.findall(v.lower())}
-    if not words:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes by name, each with its first value."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+
+
+def _class_kind(name: str, found: dict[str, str]) -> str:
+    """What class, id and role say: none, other, good, weak (a sign of boilerplate) or bad."""
+    if name in ("html", "body"):  # their classes tell what the page has somewhere
         return "none"
-    if words & BAD:
-        return "bad"
-    if "header" in words and not words & GOOD:
-        return "bad"
-    return "good" if words & GOOD else "other"
+    kinds = set()
+    for attr in ("class", "id", "role"):
+        if attr == "id" and KIND.get(name) == "heading":
+            continue
+        for token in html.unescape(found.get(attr, "")).lower().split():
+            words = set(_WORD.findall(token))
+            bad, rest = words & BAD, {w for w in words - BAD - LAYOUT if not w.isdigit()}
+            if bad:
+                kinds.add("weak" if rest or (attr == "id" and bad <= VAGUE) else "bad")
+            elif words & GOOD:
+                kinds.add("good")
+            elif words == {"header"} or words == {"site", "header"} or words == {"page", "header"}:
+                kinds.add("bad")
+            elif words:
+                kinds.add("other")
+    if "bad" in kinds:
+        return "weak" if "good" in kinds else "bad"
+    return next((k for k in ("good", "weak", "other") if k in kinds), "none")
 
 
 def parse(page: str) -> list[Node]:
@@ -170,14 +203,17 @@ def parse(page: str) -> list[Node]:
                     close(depth)
                 elif stack[depth][0] in CONTAINERS:
                     break
-        classes = _class_kind(name, m["attrs"])
-        opened = kind is not None or classes == "bad"
+        found = _attributes(m["attrs"]) if m["attrs"] else {}
+        classes, hidden = _class_kind(name, found) if found else "none", bool(found) and _hidden(found)
+        opened = kind is not None or classes == "bad" or hidden
         own, back = stack[-1][1], block if kind is None and opened else -1
         if opened:
             above = nodes[own].section
             kind = kind or "box"
-            if kind in ("aside", "form", "hidden") or classes == "bad" or above == "bad":
+            if kind in ("aside", "form", "hidden") or hidden or above == "bad":
                 section = "bad"
+            elif classes == "bad" or above == "doubt":
+                section = "doubt"
             elif name in ("article", "main"):
                 section = "article"
             else:
@@ -216,7 +252,7 @@ def evidence(nodes: list[Node]) -> list[dict[str, str]]:
     out = []
     for n, c, a in zip(nodes, chars, linked):
         seen = {"kind": n.kind, "class": n.classes}
-        if marked or n.section == "bad":
+        if marked or n.section in ("bad", "doubt"):
             seen["section"] = n.section
         if n.kind in ("para", "heading", "box"):
             seen["length"] = str(_bucket(c, LENGTHS))
@@ -226,9 +262,10 @@ def evidence(nodes: list[Node]) -> list[dict[str, str]]:
     return out
 
 
-def labels(nodes: list[Node]) -> list[int]:
-    """Labels of a page that marks its article: content stands in it and in no boilerplate."""
-    return [int(n.section == "article") for n in nodes]
+def labels(nodes: list[Node]) -> list[int | None]:
+    """Labels of a page that marks its article: content stands in it and in no boilerplate element. Whether what stands
+    at or below a class of boilerplate belongs to it is not known."""
+    return [None if n.section == "doubt" else int(n.section == "article") for n in nodes]
 
 
 class Model:
@@ -241,7 +278,7 @@ class Model:
                 ("kind=aside", 0): 40, ("kind=form", 0): 40, ("kind=hidden", 0): 80, ("class=bad", 0): 40, ("section=bad", 0): 40,
                 ("section=none", 0): 10, ("section=article", 1): 10, ("kind=para", 1): 6, ("kind=para", 0): 3,
                 ("kind=heading", 1): 3, ("kind=heading", 0): 1, ("kind=box", 0): 5, ("kind=box", 1): 5, ("class=good", 1): 6,
-                ("class=none", 0): 10, ("class=none", 1): 10, ("class=other", 0): 3, ("class=other", 1): 3,
+                ("class=none", 0): 10, ("class=none", 1): 10, ("class=weak", 0): 6, ("class=weak", 1): 3, ("class=other", 0): 3, ("class=other", 1): 3,
                 ("links=0", 1): 10, ("links=0", 0): 4, ("links=1", 1): 3, ("links=2", 0): 3, ("links=3", 0): 10,
                 ("length=0", 0): 3, ("length=1", 0): 4, ("length=2", 1): 1, ("length=3", 1): 4, ("length=4", 1): 6,
             }
@@ -263,6 +300,7 @@ class Model:
             ratio = math.log((own[what, 1] + 0.5) / (totals[name, 1] + 3)) - math.log((own[what, 0] + 0.5) / (totals[name, 0] + 3))
             low, high = CAPS[name]
             self.odds[what] = max(low, min(high, ratio))
+        self.odds |= {"section=bad": BOILERPLATE, "section=doubt": DOUBT}  # never learned, as the section gives the labels
         self.child = {}
         for kind in KINDS:
             for parent in (0, 1):
@@ -332,6 +370,8 @@ def train(pages: DataFrame, sample: int = TRAIN_PAGES, id_col: str = "page_id",
                 nodes = parse(page)
                 own = labels(nodes)
                 for node, what, label in zip(nodes[1:], evidence(nodes)[1:], own[1:]):
+                    if label is None or own[node.parent] is None:
+                        continue
                     for k, v in what.items():
                         if k != "section":  # that is where the label comes from
                             seen[f"{k}={v}", -1, label] += 1
