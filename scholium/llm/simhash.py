@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.common import id_text, materialize, table
+from scholium.llm.common import materialize, table
 from scholium.llm.components import components
-from scholium.llm.windows import mix
+from scholium.llm.windows import keyed, mix
 
 SEGMENTS, BITS, RADIUS, SHINGLE, SEED = 8, 8, 3, 3, 42
 BUDGETS = np.array([RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)], dtype=np.uint8)
@@ -67,13 +67,13 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "t", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the 64 bits in a signed long."""
-    return id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, t, fp): the 64 bits in a signed long; ``t`` is a hash of id and text, which tells rows of one id apart."""
+    return keyed(docs).select("doc_id", "t", "text").mapInArrow(_fingerprints, "doc_id long, t long, fp long")
 
 
 def _segment(i: int):
@@ -217,17 +217,20 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET) -> DataFrame:
     hot = F.broadcast(labelled.filter(F.col("rows") * HOT > total))
     cold = prints.join(hot.select("fp"), "fp", "left_anti").join(labelled, "fp")
     return cold.unionByName(prints.join(hot, "fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rep"
+        "doc_id", "t", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rep"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that name their component: one of each group of near-duplicates, columns unchanged.
 
-    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    Rows that repeat an id and a text are one document and stay or go together; rows of one id with other texts are
+    told apart. Rows without an id stay.
     """
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id", "t").distinct()
+    text = F.coalesce(docs["text"], F.lit(""))
+    here = (docs["doc_id"] == dropped["doc_id"]) & (F.xxhash64(docs["doc_id"], text) == dropped["t"])
+    return docs.join(dropped, here, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 A text is known by the SHA-256 digest of its normalised content and of the tokenizer file. The only normalisation is
 that a null is the empty text: the tokenizers tell apart case, white space and Unicode forms, so any other would give
 a text the count of another one. Stored counts are joined by that key; only distinct texts without one are encoded,
-and their counts are appended to the cache, a Parquet folder that outlives the query.
+and their counts are appended to the cache, which outlives the query. Each append is a Parquet folder of its own below
+the cache's, so writers never touch each other's files, and only folders that Spark has marked as complete are read.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens. Repeated rows keep their number. An empty table
 gives an empty result; other columns are ignored. Texts are encoded whole. Two writers may store the same digest
-twice; it is read as one. An append that fails leaves nothing behind, as Spark commits it as one job, and is repeated
-by the next run.
+twice; it is read as one. An append that fails has no mark, is never read and is repeated by the next run. A text whose
+count is in no folder when the result is read (somebody has deleted the cache) raises an error; no row is left out.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,11 +104,26 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return count
 
 
+def appends(spark: SparkSession, cache: str) -> list[str]:
+    """The cache's complete folders, by name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache}/counts-*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def _stored(spark: SparkSession, cache: str) -> DataFrame:
-    try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache)
-    except AnalysisException:  # not written yet
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    folders = appends(spark, cache)
+    return spark.read.schema(CACHE_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def _append(counts: DataFrame, cache: str) -> None:
+    """Write counts to a new folder of the cache; where there are none, it goes again."""
+    spark = counts.sparkSession
+    folder = f"{cache}/counts-{uuid.uuid4().hex}"
+    counts.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(folder)
+    if spark.read.schema(CACHE_SCHEMA).parquet(folder).isEmpty():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -116,7 +132,7 @@ def _known(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """Bytes and tokens of each text. ``cache`` is a folder shared by all machines; without one it is ``token-counts``
+    """Bytes and tokens of each text. ``cache`` is a folder that all machines share; without one it is ``token-counts``
     beside the intermediate tables, where the next query finds what this one stored."""
     spark = docs.sparkSession
     path = path or default_path()
@@ -136,10 +152,10 @@ def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = N
     known = _known(spark, cache, version)
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     counted = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return sizes.join(_known(spark, cache, version), "digest").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    _append(counted.select(F.lit(version).alias("version"), "digest", "n_tokens"), cache)
+    lost = F.raise_error(F.lit(f"a count is missing in {cache}; was it deleted while this ran?")).cast("long")
+    found = sizes.join(_known(spark, cache, version), "digest", "left").withColumn("n_tokens", F.coalesce("n_tokens", lost))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
