@@ -6,12 +6,14 @@ similarity, so at 0.8 they have 32 collisions or more but for 2 in 10^8 pairs. T
 
 Classes are posted under each coordinate-value pair. A pair that only one class has is no posting, and classes with fewer
 than 32 shared ones have no partner. Prefix: with the coordinates ordered from the rarest, two classes of 32 collisions
-meet under one of the first 33 of 64, so only those are posted, fewer by the ones that nobody shares. Skip: each posting
-list first links its members to one of them, the one whose coordinates are the most shared; what is confirmed connects
-them, and lists whose members are connected already are skipped. Lists that still hold several components count
-collisions between members of different ones, by sizes, after members without enough shared coordinates in the list
-have gone. Lists over ``LIST`` members are cut in blocks, and pairs of blocks are tasks, so no list lands in one task.
-Every pair above the threshold is confirmed on the full sets before it links.
+meet under one of the first 33 of 64, so only those are posted, fewer by the ones that nobody shares. Merging: a list
+of few members counts the collisions of all its pairs; a longer one at first only those with one member, the one whose
+coordinates are the most shared. Skip: what is confirmed connects members, and long lists whose members are connected are
+skipped. In those that still hold several components, members without enough shared coordinates in the list go, and
+collisions are counted between members of different components, in order of size; what reaches the threshold is confirmed
+there, so that a link merges two components at once and no more links than members come out. Lists over ``LIST``
+members are cut in blocks, and pairs of blocks are tasks, so no list lands in one task. Every pair above the threshold is
+confirmed on the full sets before it links; sets are formed only for classes of such pairs and of such long lists.
 
 Defined cases: a null text, or one without words, has no shingles, is linked with nothing and keeps its own id; with one
 word, the word is the set. Shingles are compared by 64-bit hashes, sets by 128 bits of theirs. Every row has a line, also
@@ -36,48 +38,58 @@ from scholium.llm.windows import keyed, mix
 
 SHINGLE, COORDINATES, MATCHES, PERCENT = 2, 64, 32, 80
 #: Members of a posting list that one task compares; longer lists are cut in blocks.
-LIST = 1 << 11
+LIST = 1 << 10
+#: Members of a list that compares all its pairs at once.
+SHORT = 32
 #: Pairs of members compared at once within a task.
 _AT_ONCE = 1 << 13
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_FIRST = _RANDOM.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(a + b" " + b) for a, b in zip(words, words[1:])), np.uint64, len(words) - 1))
+        return hashes
+    return np.unique(mix(hashes[:-1] * _FIRST + mix(hashes[1:])))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The least value of each coordinate's hash function over the set."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * _FACTORS + _ADDENDS).min(axis=0), out=least)
+    for at in range(0, len(hashes), 512):
+        values = hashes[at : at + 512, None] * _FACTORS
+        values += _ADDENDS
+        np.minimum(least, values.min(axis=0), out=least)
     return least
 
 
+def short_digests(signs: np.ndarray) -> bytes:
+    """16 bits of each coordinate: equal coordinates stay equal."""
+    return (mix(signs) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, signs = [], [], []
+        sizes, digests, signs, short = [], [], [], []
         for text in batch.column(3):
             found = shingles(text.as_py())
+            sign = signature(found) if len(found) else None
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            signs.append(signature(found).view(np.int64) if len(found) else None)
-        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "t", "doc_id", "n", "digest", "sig"])
+            signs.append(None if sign is None else sign.view(np.int64))
+            short.append(None if sign is None else short_digests(sign))
+        made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(short, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc", "t", "doc_id", "n", "digest", "sig", "short"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc, t, doc_id, n, digest, sig) of each row; without shingles, digest and signature are null."""
-    return keyed(docs).mapInArrow(_signed, "doc long, t long, doc_id long, n long, digest binary, sig array<long>")
+    """(doc, t, doc_id, n, digest, sig, short) of each row; without shingles, digest and signature are null."""
+    return keyed(docs).mapInArrow(_signed, "doc long, t long, doc_id long, n long, digest binary, sig array<long>, short binary")
 
 
 def _shared(tokens: DataFrame, matches: int) -> DataFrame:
@@ -88,24 +100,27 @@ def _shared(tokens: DataFrame, matches: int) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the classes, and 16 bits of each coordinate: equal coordinates stay equal."""
     for batch in batches:
-        found = [shingles(t.as_py()) for t in batch.column(1)]
-        digests = [(mix(signature(h)) >> np.uint64(48)).astype(np.uint16).tobytes() for h in found]
-        columns = [batch.column(0), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(digests, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["c", "hashes", "digests"])
-
-
-def confirmed(pairs: DataFrame, members: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs (u, v) with enough collisions whose full sets are similar enough."""
-    sides = [members.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "uv"]
-    counted = pairs.join(sides[0], "u").join(sides[1], "v")
-    counted = counted.filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-    counted = counted.filter(F.size(F.array_intersect("t_u", "t_v")) >= matches).select("u", "v")
-    full = [members.select(F.col("c").alias(s), F.col("hashes").alias(f"h_{s}")) for s in "uv"]
-    both = counted.join(full[0], "u").join(full[1], "v").withColumn("common", F.size(F.array_intersect("h_u", "h_v")))
+        found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["c", "hashes"])
+
+
+def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, hashes) of the classes ``wanted(c)``, as a table; each set is formed from one text of its class."""
+    own = wanted.distinct().join(classes, "c").select("c", F.col("place.doc").alias("doc"), F.col("place.t").alias("t"))
+    texts = keyed(docs).join(own.hint("shuffle_hash"), ["doc", "t"]).select("c", "text").dropDuplicates(["c"])
+    return materialize(texts.mapInArrow(_sets, "c long, hashes array<long>"), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets are similar enough, as a table."""
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("c")), classes, docs)
+    full = [sets.select(F.col("c").alias(s), F.col("hashes").alias(f"h_{s}")) for s in "uv"]
+    both = pairs.join(full[0], "u").join(full[1], "v").withColumn("common", F.size(F.array_intersect("h_u", "h_v")))
     union = F.size("h_u") + F.size("h_v") - F.col("common")
-    return both.filter(100 * F.col("common") >= percent * union).select("u", "v")
+    links = materialize(both.filter(100 * F.col("common") >= percent * union).select("u", "v"), "minhash-links")
+    release(pairs.sparkSession, sets)
+    return links
 
 
 def _enough(signs: np.ndarray, matches: int) -> np.ndarray:
@@ -121,44 +136,104 @@ def _enough(signs: np.ndarray, matches: int) -> np.ndarray:
     return back.sum(axis=1) >= matches
 
 
-def list_pairs(names: np.ndarray, component: np.ndarray, sizes: np.ndarray, signs: np.ndarray, matches: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list's members in different components with enough collisions and sizes that allow the similarity."""
-    while len(names) > 64:
-        keep = _enough(signs, matches)
-        if keep.all():
-            break
-        names, component, sizes, signs = names[keep], component[keep], sizes[keep], signs[keep]
+def _near(i: int, ends: np.ndarray, component: np.ndarray, signs: np.ndarray, matches: int) -> np.ndarray:
+    """Later members, in order of size, of another component than member ``i`` and with enough collisions."""
+    rest = np.flatnonzero(component[i + 1 : ends[i]] != component[i]) + i + 1
+    parts = [rest[at : at + _AT_ONCE] for at in range(0, len(rest), _AT_ONCE)]
+    return np.concatenate([p[(signs[p] == signs[i]).sum(axis=1) >= matches] for p in parts]) if parts else rest
+
+
+def list_pairs(names: np.ndarray, sizes: np.ndarray, signs: np.ndarray, matches: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a short list's members with enough collisions and sizes that allow the similarity."""
     order = np.argsort(sizes, kind="stable")
-    names, component, sizes, signs = names[order], component[order], sizes[order], signs[order]
+    names, sizes, signs = names[order], sizes[order], signs[order]
+    ends, apart = np.searchsorted(sizes, 100 * sizes // percent, side="right"), np.arange(len(names))
+    right = [_near(i, ends, apart, signs, matches) for i in range(len(names))]
+    u, v = names[np.repeat(apart, [len(r) for r in right])], names[np.concatenate(right)]
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def list_links(
+    names: np.ndarray, component: np.ndarray, sizes: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], matches: int, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components of a long list that connect what all its links connect."""
+    kept = np.arange(len(names))
+    while len(kept):
+        enough = _enough(signs[kept], matches)
+        if enough.all():
+            break
+        kept = kept[enough]
+    kept = kept[np.argsort(sizes[kept], kind="stable")]
+    names, component, sizes, signs, sets = names[kept], component[kept].copy(), sizes[kept], signs[kept], [sets[i] for i in kept]
     ends = np.searchsorted(sizes, 100 * sizes // percent, side="right")
-    left, right = [], []
-    for i in range(len(names) - 1):
-        rest = slice(i + 1, ends[i])
-        near = np.flatnonzero(component[rest] != component[i]) + i + 1
-        for at in range(0, len(near), _AT_ONCE):
-            part = near[at : at + _AT_ONCE]
-            part = part[(signs[part] == signs[i]).sum(axis=1) >= matches]
-            left.append(np.full(len(part), i))
-            right.append(part)
-    if not left:
-        return names[:0], names[:0]
-    u, v = names[np.concatenate(left)], names[np.concatenate(right)]
+    # where each shingle stands: members in the order of the shingles
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    us, vs = [], []
+    for i in range(len(names)):
+        near = _near(i, ends, component, signs, matches)
+        if not len(near):
+            continue
+        if len(near) < 16:
+            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in near])
+        else:  # merge the lists of the member's shingles
+            a, b = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+            steps = np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            common = np.bincount(owner[np.repeat(a, b - a) + steps], minlength=len(names))[near]
+        linked = near[100 * common >= percent * (sizes[i] + sizes[near] - common)]
+        for j in linked:
+            if component[j] != component[i]:
+                us.append(names[i])
+                vs.append(names[j])
+                component[component == component[j]] = component[i]
+    u, v = np.array(us, np.int64), np.array(vs, np.int64)
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def _counted(matches: int, percent: int):
+def star_pairs(names: np.ndarray, score: np.ndarray, sizes: np.ndarray, signs: np.ndarray, matches: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list's members with the one of the highest score."""
+    top = int(np.lexsort((-names, score))[-1])
+    near = (signs == signs[top]).sum(axis=1) >= matches
+    near &= 100 * np.minimum(sizes, sizes[top]) >= percent * np.maximum(sizes, sizes[top])
+    near[top] = False
+    return np.minimum(names[near], names[top]), np.maximum(names[near], names[top])
+
+
+def _by_list(matches: int, percent: int, short: int, first: bool):
+    """Pairs to confirm of each list at first, when ``group`` is the members' score; later, when it is their component,
+    links."""
+
+    def one(part: slice, names: np.ndarray, group: np.ndarray, sizes: np.ndarray, signs: np.ndarray, sets: pa.Array | None):
+        own = names[part], sizes[part], signs[part]
+        if not first:
+            held = [sets[i].values.to_numpy().view(np.uint64) for i in range(part.start, part.stop)]
+            return list_links(own[0], group[part], own[1], own[2], held, matches, percent)
+        if part.stop - part.start <= short:
+            return list_pairs(*own, matches, percent)
+        return star_pairs(own[0], group[part], own[1], own[2], matches, percent)
+
+    def emit(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        lists, names, group, sizes = (rows.column(i).to_numpy() for i in range(4))
+        signs = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        sets = None if first else rows.column(5).combine_chunks()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]))
+        lengths = np.diff(cuts)
+        found = [(names[:0], names[:0])]
+        if first:
+            a = cuts[:-1][lengths == 2]  # most lists are pairs
+            near = ((signs[a] == signs[a + 1]).sum(axis=1) >= matches) & (100 * np.minimum(sizes[a], sizes[a + 1]) >= percent * np.maximum(sizes[a], sizes[a + 1]))
+            found.append((np.minimum(names[a], names[a + 1])[near], np.maximum(names[a], names[a + 1])[near]))
+        for i in np.flatnonzero(lengths > 1 + first):
+            found.append(one(slice(int(cuts[i]), int(cuts[i + 1])), names, group, sizes, signs, sets))
+        u, v = (pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in range(2))
+        return pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each list; rows come sorted by list, and a list may run over several batches."""
+        """Rows come sorted by list, and a list may run over several batches."""
         held: list[pa.RecordBatch] = []
-
-        def emit(rows: pa.Table) -> pa.RecordBatch:
-            lists, names, component, sizes = (rows.column(i).to_numpy() for i in range(4))
-            signs = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]))
-            found = [list_pairs(names[a:b], component[a:b], sizes[a:b], signs[a:b], matches, percent) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
-            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -174,20 +249,19 @@ def _counted(matches: int, percent: int):
     return run
 
 
-def _merged(posted: DataFrame, labels: DataFrame, members: DataFrame, matches: int, percent: int, limit: int) -> DataFrame:
-    """Pairs to confirm from the lists whose members are not all connected."""
-    named = posted.join(labels, posted["c"] == labels["node"], "left")
-    named = named.select("token", "c", F.coalesce("component", "c").alias("component"))
-    mixed = named.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    rows = named.join(mixed.select("token", "m"), "token").join(members.select("c", "n", "digests"), "c")
+def _pairs(rows: DataFrame, members: DataFrame, matches: int, percent: int, limit: int, first: bool) -> DataFrame:
+    """Pairs of ``rows(token, m, c, group)``, the lists' members, with what ``members`` holds of each; lists over
+    ``limit`` go in blocks.
+
+    A cell is a list, or two blocks of one. At first each block is a cell; members of one block meet there.
+    """
     blocks = F.ceil(F.col("m") / limit).cast("int")
     own = F.pmod(F.xxhash64("c", F.lit(7)), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    cells = rows.select("token", own.alias("own"), other.alias("other"), "c", "component", "n", "digests")
-    # a cell is a list, or two blocks of one; members of one block meet in its own cell too
+    other = own if first else F.explode(F.sequence(F.lit(0), blocks - 1))
+    cells = rows.select("token", "c", "group", own.alias("own"), other.alias("other"))
     cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("list")
-    cells = cells.select(cell, "c", "component", "n", "digests").repartition("list").sortWithinPartitions("list")
-    return cells.mapInArrow(_counted(matches, percent), "u long, v long").distinct()
+    cells = cells.select(cell, "c", "group").join(members, "c").select("list", "c", "group", *(c for c in members.columns if c != "c"))
+    return cells.repartition("list").sortWithinPartitions("list").mapInArrow(_by_list(matches, percent, min(SHORT, limit), first), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT, limit: int = LIST) -> DataFrame:
@@ -195,31 +269,34 @@ def near_duplicates(docs: DataFrame, matches: int = MATCHES, percent: int = PERC
     spark = docs.sparkSession
     signed = materialize(signatures(docs), "minhash-signatures")
     grouped = signed.filter("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.min(F.struct("doc", "t")).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig")
-    )
+        F.min("doc_id").alias("id"), F.min(F.struct("doc", "t")).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("short").alias("short"),
+    )
     classes = materialize(grouped.withColumn("c", F.monotonically_increasing_id()), "minhash-classes")
+    release(spark)
     tokens = classes.select("c", F.posexplode("sig").alias("at", "least")).select("c", F.xxhash64("at", "least").alias("token"))
-    first = materialize(_shared(tokens, matches), "minhash-shared")
+    once = materialize(_shared(tokens, matches), "minhash-shared")
     release(spark)
     # what others share is counted again among those that are left
-    shared = materialize(_shared(first.select("c", F.explode("held.token").alias("token")), matches), "minhash-shared")
-    release(spark, first)
-    texts = keyed(docs).join(
-        shared.join(classes, "c").select("c", F.col("place.doc").alias("doc"), F.col("place.t").alias("t")).hint("shuffle_hash"), ["doc", "t"]
-    )
-    sets = texts.select("c", "text").dropDuplicates(["c"]).mapInArrow(_sets, "c long, hashes array<long>, digests binary")
-    members = shared.select("c", F.col("held.token").alias("tokens")).join(classes.select("c", "n"), "c").join(sets, "c")
-    members = materialize(members, "minhash-members")
+    shared = materialize(_shared(once.select("c", F.explode("held.token").alias("token")), matches), "minhash-shared")
+    release(spark, once)
     prefix = F.slice("held", 1, F.size("held") - (matches - 1))
     score = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["df"])
-    posted = materialize(shared.select("c", score.alias("score"), F.explode(prefix).alias("h")).select("c", "score", "h.token"), "minhash-postings")
-    centre = posted.groupBy("token").agg(F.max(F.struct("score", "c")).alias("top"), F.count("*").alias("m")).filter("m > 1")
-    stars = posted.join(centre.select("token", F.col("top.c").alias("centre")), "token").filter("c <> centre")
-    pairs = stars.select(F.least("c", "centre").alias("u"), F.greatest("c", "centre").alias("v")).distinct()
-    one = materialize(confirmed(pairs, members, matches, percent), "minhash-links")
+    posted = shared.select("c", score.alias("group"), F.explode(prefix).alias("h")).select("h.token", "c", "group")
+    lists = posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    posted = materialize(posted.join(lists, "token"), "minhash-postings")
+    members = classes.select("c", "n", "short")
+    pairs = materialize(_pairs(posted, members, matches, percent, limit, True), "minhash-pairs")
+    release(spark, shared)
+    one = confirmed(pairs, classes, docs, percent)
     labels = materialize(components(one), "minhash-labels")
-    pairs = materialize(_merged(posted, labels, members, matches, percent, limit), "minhash-pairs")
-    two = materialize(confirmed(pairs, members, matches, percent), "minhash-links")
+    named = posted.filter(F.col("m") > min(SHORT, limit)).join(labels, posted["c"] == labels["node"], "left")
+    named = named.select("token", "m", "c", F.coalesce("component", "c").alias("group"))
+    mixed = named.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b")
+    long = materialize(named.join(mixed.select("token"), "token"), "minhash-long")
+    sets = _sets_of(long.select("c"), classes, docs)
+    two = materialize(_pairs(long, members.join(sets, "c"), matches, percent, limit, False), "minhash-links")
+    release(spark, posted, long, sets)
     found = materialize(components(one.union(two)), "minhash-components")
     named = classes.join(found, classes["c"] == found["node"], "left").select("digest", "id", F.coalesce("component", "c").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -75,22 +75,44 @@ def test_defined_cases(spark):
     assert m.near_duplicates(df.filter("text is null")).count() == 2
 
 
-def test_pairs_of_a_list():
-    """What blocks and the thinning of long lists find is what all pairs give."""
-    rnd = np.random.default_rng(1)
-    base = rnd.integers(0, 1 << 16, (9, 64), dtype=np.uint16)
-    signs = base[rnd.integers(0, 9, 300)]
-    flips = rnd.random((300, 64)) < rnd.random((300, 1)) * 0.9
-    signs = np.where(flips, rnd.integers(0, 1 << 16, (300, 64), dtype=np.uint16), signs)
-    names, component, sizes = np.arange(300), rnd.integers(0, 200, 300), rnd.integers(80, 120, 300)
-    want = {
-        (i, j) for i in range(300) for j in range(i + 1, 300)
-        if component[i] != component[j] and (signs[i] == signs[j]).sum() >= 32 and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])
-    }
-    u, v = m.list_pairs(names, component, sizes, signs, 32, 80)
+def members_of_a_list(seed, n=300):
+    """Sets around a few bases, from near to far, with their signatures and components."""
+    rnd = np.random.default_rng(seed)
+    bases = [rnd.integers(0, 1 << 63, 100, dtype=np.uint64) for _ in range(7)]
+    sets = []
+    for _ in range(n):
+        base = bases[rnd.integers(7)]
+        kept = base[rnd.random(100) > rnd.random() * 0.25]
+        sets.append(np.unique(np.concatenate([kept, rnd.integers(0, 1 << 63, rnd.integers(0, 20), dtype=np.uint64)])))
+    signs = np.array([np.frombuffer(m.short_digests(m.signature(x)), np.uint16) for x in sets])
+    return np.arange(n), rnd.integers(0, 200, n), np.array([len(x) for x in sets]), signs, sets
+
+
+def test_pairs_of_a_short_list():
+    names, _, sizes, signs, _ = members_of_a_list(1, 80)
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if (signs[i] == signs[j]).sum() >= 32 and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])}
+    u, v = m.list_pairs(names, sizes, signs, 32, 80)
     assert set(zip(u.tolist(), v.tolist())) == want and want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_of_a_long_list(seed):
+    """They join the components that all pairs join, each a true link, and are fewer than members."""
+    names, component, sizes, signs, sets = members_of_a_list(seed)
+
+    def joined(links):
+        label = component.copy()
+        for i, j in links:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())}
+
+    alike = lambda i, j: 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 80 * len(set(sets[i].tolist()) | set(sets[j].tolist()))
+    every = [(i, j) for i in range(300) for j in range(i) if alike(i, j)]
+    u, v = m.list_links(names, component, sizes, signs, sets, 32, 80)
+    assert joined(zip(u.tolist(), v.tolist())) == joined(every) and 0 < len(u) < 300 < len(every)
+    assert all(alike(i, j) for i, j in zip(u.tolist(), v.tolist()))
+
+
 def test_collisions_follow_the_similarity():
     """At a similarity of 0.8 pairs have some 51 collisions of 64 and hardly ever under 32."""
     rnd = random.Random(2)
