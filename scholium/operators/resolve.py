@@ -12,6 +12,8 @@ from scholium.functions.fuzzy import jaro_winkler, token_sort, token_sort_ratio
 from scholium.functions.text import norm_name
 from scholium.operators.forecast import row_numbers
 from scholium.operators.graph import components
+from scholium.operators.similar import containing, similar
+from scholium.sources.scratch import cut
 
 
 def union_specialists(parts: dict[str, DataFrame]) -> DataFrame:
@@ -64,69 +66,34 @@ def enrich(rows: DataFrame, extra: DataFrame, columns: list[str]) -> DataFrame:
     return joined.withColumns(filled).select(rows.columns)
 
 
-def _stretches(text: str) -> Column:
-    """All stretches of one to three characters of a text, and the empty one."""
-    n = F.length(text)
-    parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))) for k in (1, 2, 3)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))
-
-
-def _containing(holders: DataFrame, held: DataFrame, holder: str, inner: str, whole_words: bool = False) -> DataFrame:
-    """Rows of both where ``holder`` holds ``inner``: they meet by its first word or first three characters."""
-    if whole_words:
-        words, first = F.split(F.col(holder), " "), F.element_at(F.split(F.col(inner), " "), 1)
-        inside = F.contains(F.concat(F.lit(" "), holder, F.lit(" ")), F.concat(F.lit(" "), inner, F.lit(" ")))
-        left = holders.withColumn("_block", F.explode(F.array_distinct(words)))
-    else:
-        first, inside = F.substring(inner, 1, 3), F.contains(holder, F.col(inner))
-        left = holders.withColumn("_block", F.explode(_stretches(holder)))
-    return left.join(held.withColumn("_block", first), "_block").filter(inside).drop("_block")
-
-
 def _alike(texts: DataFrame, variants: DataFrame, threshold: float) -> DataFrame:
-    """(text, key, pos, canonical, score) of keys and variants whose token sort ratio reaches the threshold.
-
-    A ratio r of strings of m and n characters, white space collapsed, leaves (m + n) r / 200 characters in
-    common, so the shorter is at least r / (200 - r) of the longer, and as many characters agree whatever their
-    order. Both bounds lose nothing: the first pairs lengths by an equality join, the second is counted before the
-    comparison itself.
-    """
-    least = threshold / (200 - threshold)
+    """(text, key, pos, canonical, score) of keys and variants whose token sort ratio reaches the threshold."""
     if threshold > 100:
         return texts.select("text", "key", F.lit(0).alias("pos"), F.lit("").alias("canonical"), F.lit(0.0).alias("score")).limit(0)
-    length = lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " ")))
-    own = texts.withColumn("_m", length("key"))
-    low, high = F.ceil(F.col("_m") * least - 1e-9), F.floor(F.col("_m") / max(least, 1e-3) + 1e-9)
-    spread = own.withColumn("_n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    pairs = spread.join(variants.select("pos", "variant", "canonical").withColumn("_n", length("variant")), "_n")
-    letters = lambda x: F.map_from_entries(
-        F.transform(F.array_distinct(F.split(x, "")), lambda c: F.struct(c, F.length(x) - F.length(F.replace(F.col(x), c, F.lit("")))))
-    )
-    pairs = pairs.withColumn("_a", letters("key")).withColumn("_b", letters("variant"))
-    common = F.aggregate(F.map_keys("_a"), F.lit(0), lambda s, c: s + F.coalesce(F.least(F.try_element_at(F.col("_a"), c), F.try_element_at(F.col("_b"), c)), F.lit(0)))
-    near = pairs.filter(common + 1e-9 >= (F.col("_m") + F.col("_n")) * threshold / 200).withColumn("score", token_sort_ratio("key", "variant"))
-    return near.filter(F.col("score") >= threshold).select("text", "key", "pos", "canonical", "score")
+    near = similar(texts, variants, "key", "variant", threshold)
+    return texts.join(near, "key").join(variants, "variant").select("text", "key", "pos", "canonical", "score")
 
 
 def lookup_tiers(texts: DataFrame, variants: DataFrame, threshold: float = 80.0, whole_words: bool = False) -> DataFrame:
     """Normalise distinct texts through tiers: exact, contained either way, fuzzy, passed through.
 
     ``texts`` is (text), ``variants`` (pos, variant, canonical) in lower case. Each tier sees what the one before
-    missed, and pairs texts and variants by equality of something that a match must share. Within a tier the first
-    variant counts, or in the fuzzy tier the best and then first.
+    missed, and pairs texts and variants by equality of something that a match must share: the rarest part of what is
+    contained, and q-grams. Within a tier the first variant counts, or in the fuzzy tier the best and then first.
     """
-    own = texts.select("text").distinct().withColumn("key", F.lower(F.trim("text")))
+    own = cut(texts.select("text").distinct().withColumn("key", F.lower(F.trim("text"))), "lookup-texts")
+    variants = cut(variants.select("pos", "variant", "canonical"), "lookup-variants")
     exact = own.join(variants, own["key"] == variants["variant"]).groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical"))
-    rest = own.join(exact, "text", "left_anti")
-    known = variants.select("pos", "variant", "canonical")
-    inside = _containing(rest, known, "key", "variant", whole_words).select("text", "key", "pos", "canonical")
+    rest = cut(own.join(exact, "text", "left_anti"), "lookup-rest")
+    inside = containing(rest, variants, "key", "variant", whole_words=whole_words).select("text", "key", "pos", "canonical")
     if not whole_words:
-        inside = inside.union(_containing(known, rest, "variant", "key").select("text", "key", "pos", "canonical"))
-    part = inside.groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical"))
-    rest = rest.join(part, "text", "left_anti")
-    near = _alike(rest, known, threshold).groupBy("text", "key").agg(
+        inside = inside.union(containing(variants, rest, "variant", "key").select("text", "key", "pos", "canonical"))
+    part = cut(inside.groupBy("text", "key").agg(F.min_by("canonical", "pos").alias("canonical")), "lookup-inside")
+    rest = cut(rest.join(part, "text", "left_anti"), "lookup-rest")
+    near = _alike(rest, variants, threshold).groupBy("text", "key").agg(
         F.max_by("canonical", F.struct("score", -F.col("pos"))).alias("canonical"), F.max("score").alias("score")
     )
+    near = cut(near, "lookup-near")
     rest = rest.join(near, "text", "left_anti")
     tiers = [
         exact.select("text", "canonical", F.lit(0.95).alias("confidence"), F.lit("kb").alias("source")),
@@ -248,7 +215,8 @@ def first_source(rows: DataFrame, key: str, priority: str) -> DataFrame:
 
 def link_mentions(mentions: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
     """(mention, kind, id): up to ``limit`` known names per mention and kind that contain it, in order of id."""
-    hits = mentions.select("mention", "kind").distinct().join(names, "kind").filter(F.contains(F.lower("name"), F.lower("mention")))
+    wanted = mentions.select("mention", "kind").distinct().withColumn("_inner", F.lower("mention"))
+    known = names.select("kind", "id", F.lower("name").alias("_name"))
+    hits = containing(known, wanted, "_name", "_inner", by=["kind"]).select("mention", "kind", "id")
     turn = Window.partitionBy("mention", "kind").orderBy("id")
     return hits.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= limit).select("mention", "kind", "id")
-

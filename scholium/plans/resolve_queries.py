@@ -194,11 +194,31 @@ def _texts(spark, d):
 _TX = "tx AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'Univ. of ' || n_name || ' Dept' WHEN 2 THEN n_name || 'x1' ELSE '??' || n_nationkey END AS text FROM nation)"
 
 
-@query("v05_normalise_cascade", f"""WITH {_TX}, kb AS (SELECT n_nationkey AS pos, lower(n_name) AS v, n_name AS c FROM nation),
-h AS (SELECT text, (SELECT arg_min(c, pos) FROM kb WHERE v = lower(text)) AS e, (SELECT arg_min(c, pos) FROM kb WHERE contains(lower(text), v) OR contains(v, lower(text))) AS p FROM tx)
-SELECT DISTINCT text, coalesce(e, p, text) AS canonical, CASE WHEN e IS NOT NULL OR p IS NOT NULL THEN 0.95 ELSE 0.3 END::DOUBLE AS confidence, CASE WHEN e IS NOT NULL OR p IS NOT NULL THEN 'kb' ELSE 'none' END AS source FROM h""")
+_NAMES = f"""tx AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN 'Dept. of ' || p_name || ' ' || p_type
+  WHEN 2 THEN p_type || ' ' || replace(p_name, 'l', '1') || ' ' || replace(p_brand, 'Brand#', '') ELSE p_brand END AS text FROM part),
+kb AS (SELECT lower(p_name || ' ' || p_type) AS v, min(p_partkey) AS pos, min(p_name || ' ' || p_type) AS c FROM part GROUP BY 1),
+h AS (SELECT text, (SELECT arg_min(c, pos) FROM kb WHERE v = lower(text)) AS e, (SELECT arg_min(c, pos) FROM kb WHERE contains(lower(text), v) OR contains(v, lower(text))) AS p FROM tx),
+pairs AS (SELECT text, pos, c, lower(text) AS a, v AS b FROM h JOIN kb ON 200 * least(length(text), length(v)) >= 80 * (length(text) + length(v)) WHERE e IS NULL AND p IS NULL),
+{scored("pairs", "text, pos, c")},
+near AS (SELECT text, max({{'s': score, 'p': -pos, 'c': c}}) AS best FROM scored WHERE score >= 80 GROUP BY text),
+r AS (SELECT text, coalesce(e, p, near.best.c, text) AS canonical,
+  (CASE WHEN e IS NOT NULL OR p IS NOT NULL THEN 0.95 WHEN near.best IS NOT NULL THEN 0.9 * near.best.s / 100 ELSE 0.3 END)::DOUBLE AS confidence,
+  CASE WHEN e IS NOT NULL OR p IS NOT NULL THEN 'kb' WHEN near.best IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS source FROM h LEFT JOIN near USING (text))"""
+
+
+def _names(spark, d):
+    """Names as written (exact, within others, in another order with slips, unknown) and the registry of their right forms."""
+    p = t.table(spark, d, "part")
+    name, k = F.concat("p_name", F.lit(" "), "p_type"), F.col("p_size") % 4
+    slip = F.concat("p_type", F.lit(" "), F.replace(F.col("p_name"), F.lit("l"), F.lit("1")), F.lit(" "), F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")))
+    texts = p.select(F.when(k == 0, name).when(k == 1, F.concat(F.lit("Dept. of "), name)).when(k == 2, slip).otherwise(F.col("p_brand")).alias("text"))
+    known = p.groupBy(F.lower(name).alias("variant")).agg(F.min("p_partkey").alias("pos"), F.min(name).alias("canonical"))
+    return texts, known
+
+
+@query("v05_normalise_cascade", f"WITH {_NAMES} SELECT text, canonical, confidence, source FROM r")
 def _(spark, d):
-    return resolve.lookup_tiers(_texts(spark, d), _kb(spark, d), threshold=101.0)
+    return resolve.lookup_tiers(*_names(spark, d))
 
 
 @query("j17_exact_lookup", f"WITH {_TX} SELECT text, n_name AS canonical FROM tx JOIN nation ON lower(n_name) = lower(text)")
@@ -219,19 +239,19 @@ def _(spark, d):
     return resolve.lookup_tiers(typo, names, threshold=60.0)
 
 
-@query("a43_normaliser_stats", f"WITH {_TX}, r AS (SELECT DISTINCT text, EXISTS (SELECT 1 FROM nation WHERE contains(lower(text), lower(n_name))) AS hit FROM tx) SELECT CASE WHEN hit THEN 'kb' ELSE 'none' END AS source, count(*)::BIGINT AS n, CASE WHEN hit THEN 0.95 ELSE 0.3 END::DOUBLE AS confidence FROM r GROUP BY ALL")
+@query("a43_normaliser_stats", f"WITH {_NAMES} SELECT source, count(*)::BIGINT AS n, round(avg(confidence), 9) AS confidence FROM r GROUP BY 1")
 def _(spark, d):
     from scholium.operators.analytics import confidence_stats
 
-    s = confidence_stats(resolve.lookup_tiers(_texts(spark, d), _kb(spark, d), threshold=101.0), "text")
+    s = confidence_stats(resolve.lookup_tiers(*_names(spark, d)), "text")
     return s.select("source", "n", F.round("confidence", 9).alias("confidence"))
 
 
-@query("a51_batch_normalise", f"WITH {_TX} SELECT text, count(*)::BIGINT AS n, any_value(EXISTS (SELECT 1 FROM nation WHERE contains(lower(text), lower(n_name)))) AS known FROM (SELECT text FROM tx UNION ALL SELECT text FROM tx) GROUP BY 1")
+@query("a51_batch_normalise", f"WITH {_NAMES}, o AS (SELECT CASE p_size % 4 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN 'Dept. of ' || p_name || ' ' || p_type WHEN 2 THEN p_type || ' ' || replace(p_name, 'l', '1') || ' ' || replace(p_brand, 'Brand#', '') ELSE p_brand END AS text FROM part) SELECT text, count(*)::BIGINT AS n, any_value(canonical) AS canonical, any_value(source) AS source FROM o JOIN r USING (text) GROUP BY 1")
 def _(spark, d):
-    texts = _texts(spark, d).union(_texts(spark, d))
-    found = resolve.lookup_tiers(texts, _kb(spark, d), threshold=101.0)
-    return texts.groupBy("text").agg(F.count("*").alias("n")).join(found, "text").select("text", "n", (F.col("source") == "kb").alias("known"))
+    texts, known = _names(spark, d)
+    found = resolve.lookup_tiers(texts, known)
+    return texts.groupBy("text").agg(F.count("*").alias("n")).join(found, "text").select("text", "n", "canonical", "source")
 
 
 @query("v06_row_confidence", "SELECT c_custkey, least(0.85::DOUBLE, (c_custkey % 10) / 10) AS merged, greatest(0.85::DOUBLE, (c_custkey % 10) / 10) AS routed FROM customer")
@@ -311,11 +331,13 @@ def _(spark, d):
     return t.table(spark, d, "nation").select("n_nationkey", F.array_join(p, ";").alias("problems"))
 
 
-@query("g09_entity_links", "SELECT m AS mention, n_nationkey AS id FROM (SELECT m, n_nationkey, row_number() OVER (PARTITION BY m ORDER BY n_nationkey) AS turn FROM nation, (VALUES ('at'), ('1'), ('zz')) x(m) WHERE contains(lower(n_name), lower(m))) WHERE turn <= 3")
+@query("g09_entity_links", "WITH m AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS mention, p_type AS kind FROM part), h AS (SELECT mention, kind, p_partkey AS id, row_number() OVER (PARTITION BY mention, kind ORDER BY p_partkey) AS turn FROM m JOIN part ON p_type = kind AND contains(lower(p_name || ' ' || p_brand), lower(mention))) SELECT mention, kind, id FROM h WHERE turn <= 3")
 def _(spark, d):
-    m = spark.createDataFrame([("at", "n"), ("1", "n"), ("zz", "n")], "mention string, kind string")
-    names = t.table(spark, d, "nation").select(F.lit("n").alias("kind"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("id"))
-    return resolve.link_mentions(m, names).select("mention", "id")
+    """The words of the parts' names as mentions of parts of their type; the first three stand."""
+    p = t.table(spark, d, "part")
+    mentions = p.select(F.explode(F.split("p_name", " ")).alias("mention"), F.col("p_type").alias("kind"))
+    names = p.select(F.col("p_type").alias("kind"), F.concat("p_name", F.lit(" "), "p_brand").alias("name"), F.col("p_partkey").alias("id"))
+    return resolve.link_mentions(mentions, names)
 
 
 _MD = "documents_md AS (SELECT doc_id, '# Title ' || doc_id || chr(10) || 'Ann Lee' || chr(10) || chr(10) || '## Abstract' || chr(10) || text || chr(10) || '* Equal work.' || chr(10) || 'Acknowledgements' || chr(10) || 'We thank X.' || chr(10) || 'References' || chr(10) || '[1] y' AS md FROM documents)"

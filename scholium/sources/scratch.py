@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)  # only existing paths can be marked
     return f"{folder.toString()}/{name}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that what reads it several times computes it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
