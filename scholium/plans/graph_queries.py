@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from scholium.operators import forecast, graph
+from scholium.operators import forecast, graph, graphnet
 from scholium.plans.catalog import query
 from scholium.sources import testdata as t
+from scholium.sources.scratch import cut
 from scholium.sources.testdata import sql
 
 _SHARE = """SELECT venue_key, year, sum(n)::BIGINT AS total, sum(CASE WHEN org_type = 'company' THEN n ELSE 0 END)::BIGINT AS industry,
@@ -149,14 +150,28 @@ def _(spark, d):
     return forecast.positives(edges)
 
 
-@query("g13_negatives", sql(""", e AS (SELECT a, b, year FROM collab WHERE a < b AND papers_count >= 40), yy AS (SELECT DISTINCT year FROM e),
-n AS (SELECT year, id FROM yy, (SELECT DISTINCT inst_id AS id FROM author)),
-c AS (SELECT x.year, x.id AS a, y.id AS b FROM n x JOIN n y ON x.year = y.year AND x.id < y.id
-  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = x.id AND e.b = y.id AND e.year <= x.year + 1))
-SELECT year, a, b, 0 AS label FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (a * 7919 + b * 104729 + year * 31) % 10007, a, b) AS turn FROM c) WHERE turn <= 10"""))
+#: Parts that stand in one order are linked in its year: a sparse graph, unlike those of suppliers and nations.
+_PARTS = """line AS (SELECT DISTINCT l_orderkey, l_partkey, year(o_orderdate)::INT AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+e AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b, x.year FROM line x JOIN line y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey)"""
+
+
+def _part_edges(spark, d):
+    years = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"))
+    line = t.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(years, "l_orderkey")
+    pairs = line.select("l_orderkey", "year", F.col("l_partkey").alias("a")).join(line.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey")
+    return pairs.filter("a < b").select("a", "b", "year").distinct()
+
+
+@query("g13_negatives", f"""WITH {_PARTS}, yy AS (SELECT DISTINCT year FROM e), first AS (SELECT a, b, min(year) AS first FROM e GROUP BY ALL),
+n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part), s AS (SELECT count(*) AS n FROM part),
+h AS (SELECT year, k, md5('0:' || year || ':' || k) AS h FROM yy, range(8000) AS r(k)),
+d AS (SELECT year, k, ('0x' || h[1:12])::BIGINT % n AS i, ('0x' || h[13:24])::BIGINT % (n - 1) AS j FROM h, s),
+p AS (SELECT year, least(i, j + (j >= i)::INT) AS u, greatest(i, j + (j >= i)::INT) AS v, min(k) AS k FROM d GROUP BY ALL),
+o AS (SELECT year, x.id AS a, y.id AS b, p.k FROM p JOIN n x ON x.k = u JOIN n y ON y.k = v LEFT JOIN first ON first.a = x.id AND first.b = y.id WHERE first IS NULL OR first.first > year + 1)
+SELECT year, a, b, 0 AS label FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY k) AS turn FROM o) WHERE turn <= 1000""")
 def _(spark, d):
-    edges = graph.collaborations(t.affiliated(spark, d)).filter("a < b and papers_count >= 40")
-    return forecast.negatives(edges.select("a", "b", "year"), t.authors(spark, d).select(F.col("inst_id").alias("id")).distinct(), 10)
+    nodes = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return forecast.negatives(_part_edges(spark, d), nodes, 1000)
 
 
 @query("g14_cofrequency", sql("""SELECT a, b, n / max(n) OVER () AS score FROM (SELECT a, b, sum(papers_count)::BIGINT AS n FROM collab WHERE a < b GROUP BY ALL)"""))
@@ -164,12 +179,30 @@ def _(spark, d):
     return forecast.cofrequency(graph.collaborations(t.affiliated(spark, d)).filter("a < b"))
 
 
-@query("g15_link_features", sql(""", e AS (SELECT DISTINCT a, b FROM collab WHERE papers_count >= 30), deg AS (SELECT a AS id, count(*) AS k FROM e GROUP BY 1)
+@query("g15_link_features", sql(""", e AS (SELECT DISTINCT a, b FROM collab), deg AS (SELECT a AS id, count(*) AS k FROM e GROUP BY 1)
 SELECT x.a AS a, y.a AS b, count(*)::BIGINT AS common, round(sum(1 / ln(1 + k)), 6) AS adamic
 FROM e x JOIN e y ON x.b = y.b AND x.a < y.a JOIN deg ON deg.id = x.b GROUP BY ALL"""))
 def _(spark, d):
-    edges = graph.collaborations(t.affiliated(spark, d)).filter("papers_count >= 30").select("a", "b").distinct()
-    return forecast.link_features(edges)
+    return forecast.link_features(graph.collaborations(t.affiliated(spark, d)).select("a", "b").distinct())
+
+
+@query("g15_graph_network")
+def _(spark, d):
+    """Scores of the last year's new links and as many other pairs of parts, by a network trained on the years before."""
+    edges = cut(_part_edges(spark, d), "part-edges")
+    both = edges.union(edges.select("b", "a", "year"))
+    kinds = [F.when(F.col("p_type") == k, 1.0).otherwise(0.0) for k in ("ECONOMY", "PROMO", "SMALL", "STANDARD", "LARGE", "MEDIUM")]
+    nodes = t.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(*kinds, F.col("p_size") / 50).alias("x"))
+    targets = forecast.positives(edges).select("year", "a", "b", "label")
+    last = targets.agg(F.max("year")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], "a long, b long, label int, score double")
+    others = forecast.negatives(edges, nodes.select("id"), 1000).select("year", "a", "b", "label")
+    pairs = cut(targets.union(others), "part-pairs")
+    rows = graphnet.examples(pairs.filter(F.col("year") < last), nodes, both, steps=2, features=7, neighbours=8)
+    net, _losses = graphnet.train(rows, 7, 2, hidden=8, epochs=4, rate=0.05)
+    scored = graphnet.scores(net, pairs.filter(F.col("year") == last).select("a", "b", "label"), nodes, both.filter(F.col("year") <= last), last)
+    return scored.select("a", "b", "label", F.round("score", 6).alias("score"))
 
 
 @query("g16_institution_subgraph", sql("""SELECT a, b, sum(papers_count)::BIGINT AS papers FROM collab WHERE year = 1996 AND a < b AND a IN

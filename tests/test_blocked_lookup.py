@@ -1,4 +1,4 @@
-"""Blocked lookups against all pairs, greedy pairs against a plain loop, negatives against all pairs, ranged numbers."""
+"""Blocked lookups against all pairs, greedy pairs against a plain loop, ranged numbers."""
 
 from __future__ import annotations
 
@@ -66,23 +66,6 @@ def test_greedy_pairs_take_the_first_that_fits(spark):
     assert best == {("lee ann", "Ann Lee", 100.0)}
 
 
-def test_negatives_equal_all_pairs(spark):
-    rnd = random.Random(3)
-    edges = sorted({(a, b, rnd.choice([2000, 2001, 2004])) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(200)) if a < b})
-    e = spark.createDataFrame(edges, "a long, b long, year int")
-    nodes = spark.range(60)
-    first = {}
-    for a, b, y in edges:
-        first[a, b] = min(y, first.get((a, b), y))
-    for n in (3, 40, 2000):  # the last is more than there are
-        want = set()
-        for y in {y for _, _, y in edges}:
-            open_ = [(a, b) for a in range(60) for b in range(a + 1, 60) if first.get((a, b), y + 2) > y + 1]
-            open_.sort(key=lambda p: ((p[0] * 7919 + p[1] * 104729 + y * 31) % 10007, p))
-            want |= {(y, a, b, 0) for a, b in open_[:n]}
-        assert {tuple(r) for r in forecast.negatives(e, nodes, n).collect()} == want
-
-
 def test_features_of_given_pairs(spark):
     rnd = random.Random(4)
     half = {(a, b) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(120)) if a != b}
