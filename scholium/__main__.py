@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.operators import graph
 from scholium.plans.ingest import ingest_items
 from scholium.sources import readers, sinks
 
+#: The queries' names.
 NAMES = ("industry_share_by_venue", "top_institutions_by_venue", "country_strategy_heatmap", "coauthor_neighborhood")
 
 
@@ -46,6 +48,14 @@ def author_of(spark: SparkSession, folder: str, name: str) -> str | None:
     return known.agg(F.min("canonical_id")).first()[0] if name else None
 
 
+def shown(found: DataFrame, limit: int) -> Iterator[str]:
+    """The first ``limit`` rows as a table, and how many more there are."""
+    yield sinks.ascii_table(found.limit(limit), found.columns, limit)
+    more = found.count() - limit
+    if more > 0:
+        yield f"{more} more rows: raise --limit, or write all with --output"
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="scholium")
     commands = out.add_subparsers(dest="command", required=True)
@@ -62,6 +72,8 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--author-id")
     query.add_argument("--author-name", help="used where no --author-id is given")
     query.add_argument("--hops", type=int, default=1, choices=(1, 2))
+    query.add_argument("--limit", type=int, default=200, help="rows to print")
+    query.add_argument("--output", help="a new folder for all rows as CSV, in place of printing")
     query.add_argument("--mode", default="per_paper", choices=("per_paper", "reference"))
     return out
 
@@ -77,7 +89,11 @@ def main(argv: list[str] | None = None) -> None:
         print(", ".join(f"{stored[name].count()} {name}" for name in ("paper", "author", "institution", "venue")))
         return
     found = run_query(spark, args.graph, args)
-    print(sinks.ascii_table(found, found.columns, limit=200))
+    if args.output:
+        found.write.mode("error").option("header", True).csv(args.output)
+        return
+    for line in shown(found, args.limit):
+        print(line)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholium.sources.scratch import scratch
+from scholium.sources.scratch import cut, scratch
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str, seq: str = "ingest_seq") -> DataFrame:
@@ -31,20 +31,50 @@ def mirrored(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.union(edges.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
 
 
-def coauthors(authored: DataFrame, papers: DataFrame) -> DataFrame:
+#: Members of a group whose pairs one task makes; larger groups are cut in blocks.
+BLOCK = 1 << 10
+
+
+def block_cells(rows: DataFrame, group: str, item: str, sizes: DataFrame, block: int) -> DataFrame:
+    """``rows`` of large groups with ``_own``, their block, once for each pair of blocks (``_i`` <= ``_j``) it is in.
+
+    ``sizes`` is (group, n). A cell holds the items of two blocks at most, some 2 * ``block``.
+    """
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = rows.join(sizes.select(group, F.col("n").alias("_n")), group).withColumn("_own", F.pmod(F.xxhash64(item), blocks).cast("int"))
+    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_n", "_other")
+
+
+def pairs_within(rows: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
+    """The columns of ``rows`` with ``item`` as a, and b: pairs a < b of one group.
+
+    Items of a group meet by an equality join. Groups over ``block`` items are cut, and each pair of their blocks
+    meets by itself, so that no task makes more than the pairs of two blocks, however large a group is.
+    """
+    rest = [c for c in rows.columns if c != item]
+    large = cut(rows.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > block), "large-groups")
+    left, right = rows.withColumnRenamed(item, "a"), rows.select(group, F.col(item).alias("b"))
+    if large.isEmpty():
+        return left.join(right, group).filter("a < b").select(*rest, "a", "b")
+    small = left.join(large, group, "left_anti").join(right.join(large, group, "left_anti"), group).filter("a < b").select(*rest, "a", "b")
+    cells = block_cells(rows, group, item, large, block)
+    other = cells.select(group, "_i", "_j", F.col("_own").alias("_with"), F.col(item).alias("b"))
+    met = cells.withColumnRenamed(item, "a").join(other, [group, "_i", "_j"]).filter("a < b and (_i = _j or _own <> _with)")
+    return small.unionByName(met.select(*rest, "a", "b"))
+
+
+def coauthors(authored: DataFrame, papers: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, paper_id, year), both directions, for authors of one paper; pairs are made within a paper only."""
-    one = authored.select("paper_id", F.col("author_id").alias("a"))
-    pairs = one.join(authored.select("paper_id", F.col("author_id").alias("b")), "paper_id").filter("a < b")
+    pairs = pairs_within(authored.select("paper_id", "author_id"), "paper_id", "author_id", block)
     return mirrored(pairs.join(papers.select("paper_id", "year"), "paper_id").select("a", "b", "paper_id", "year"))
 
 
-def collaborations(affiliated: DataFrame) -> DataFrame:
+def collaborations(affiliated: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, year, papers_count), both directions: papers with authors of both institutions, each counted once."""
     one = affiliated.select("paper_id", "inst_id", "year").distinct()
-    pairs = one.select("paper_id", "year", F.col("inst_id").alias("a")).join(
-        one.select("paper_id", F.col("inst_id").alias("b")), "paper_id"
-    )
-    return mirrored(pairs.filter("a < b").groupBy("a", "b", "year").agg(F.count("*").alias("papers_count")))
+    pairs = pairs_within(one, "paper_id", "inst_id", block)
+    return mirrored(pairs.groupBy("a", "b", "year").agg(F.count("*").alias("papers_count")))
 
 
 def _paired(affiliated: DataFrame, authored: DataFrame, papers: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:

@@ -48,9 +48,17 @@ def write_checkpoint(charges: DataFrame, folder: str) -> None:
     charges.select("budget", "seq", "model", "cost").write.mode("overwrite").json(f"{folder}/records")
 
 
+def few(rows: DataFrame, columns: Sequence[str], limit: int) -> list:
+    """The rows of a table of ``limit`` rows at most; a larger one is an error, as nothing is left out unsaid."""
+    listed = rows.select(*columns).limit(limit + 1).collect()
+    if len(listed) > limit:
+        raise ValueError(f"the table has more than {limit} rows: take those to be shown, or raise the limit")
+    return listed
+
+
 def svg_bars(rows: DataFrame, label: str, value: str, limit: int = 40, width: int = 480) -> str:
-    """A bar chart of a small table, in its order; ``limit`` bounds what comes to the driver."""
-    listed = [(escape(str(r[0])), float(r[1] or 0)) for r in rows.select(label, value).limit(limit).collect()]
+    """A bar chart of a small table, in its order; one over ``limit`` rows is an error."""
+    listed = [(escape(str(r[0])), float(r[1] or 0)) for r in few(rows, [label, value], limit)]
     scale = width / max([v for _, v in listed if v > 0], default=1.0)
     bars = [
         f'<text x="196" y="{20 * n + 15}" text-anchor="end">{name}</text><rect x="200" y="{20 * n + 3}" width="{max(0.0, v * scale):.1f}" height="15"/>'
@@ -62,21 +70,21 @@ def svg_bars(rows: DataFrame, label: str, value: str, limit: int = 40, width: in
 
 
 def ascii_table(rows: DataFrame, columns: Sequence[str], limit: int = 50) -> str:
-    """A small table as text; ``limit`` bounds what comes to the driver."""
-    listed = [[str(v) for v in r] for r in rows.select(*columns).limit(limit).collect()]
+    """A small table as text; one over ``limit`` rows is an error."""
+    listed = [[str(v) for v in r] for r in few(rows, columns, limit)]
     widths = [max(len(c), *(len(r[i]) for r in listed)) if listed else len(c) for i, c in enumerate(columns)]
     line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
     return "\n".join([line(columns), "-+-".join("-" * w for w in widths), *map(line, listed)])
 
 
 def markdown_table(rows: DataFrame, columns: Sequence[str], limit: int = 50) -> str:
-    listed = [[str(v) for v in r] for r in rows.select(*columns).limit(limit).collect()]
+    listed = [[str(v) for v in r] for r in few(rows, columns, limit)]
     form = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([form(columns), form(["---"] * len(columns)), *map(form, listed)])
 
 
 def latex_table(rows: DataFrame, columns: Sequence[str], limit: int = 50) -> str:
-    listed = [[str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&") for v in r] for r in rows.select(*columns).limit(limit).collect()]
+    listed = [[str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&") for v in r] for r in few(rows, columns, limit)]
     body = [" & ".join(r) + r" \\" for r in listed]
     head = " & ".join(c.replace("_", r"\_") for c in columns) + r" \\"
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}"])
