@@ -184,11 +184,14 @@ def either_contains(a: Column, b: Column) -> Column:
 def clusters(records: DataFrame, threshold: float = 90.0) -> DataFrame:
     """(record_id, cluster_id): records of a block linked by similar names, closed under links.
 
-    Equal names of a block are one node first; what their links connect, however long the chain, is one cluster.
+    Equal names of a block are one node first; what their links connect, however long the chain, is one cluster. Names
+    are compared by the q-grams they share, not by all pairs of a block.
     """
     nodes = records.groupBy("block", norm_name("name").alias("key")).agg(F.min("record_id").alias("node"))
-    pairs = nodes.select("block", "key", "node").join(nodes.select("block", F.col("key").alias("other"), F.col("node").alias("v")), "block").filter("node < v")
-    links = pairs.filter(token_sort_ratio("key", "other") >= threshold).select(F.col("node").alias("u"), "v")
+    nodes, names = cut(nodes, "cluster-nodes"), nodes.select("key").distinct()
+    near = similar(names, names.withColumnRenamed("key", "other"), "key", "other", threshold).filter("key < other").select("key", "other")
+    other = nodes.select("block", F.col("key").alias("other"), F.col("node").alias("v"))
+    links = nodes.join(near, "key").join(other, ["block", "other"]).select(F.col("node").alias("u"), "v")
     labels = nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
     keyed = records.withColumn("key", norm_name("name"))
     return keyed.join(nodes, ["block", "key"]).join(labels, "node").select("record_id", F.col("label").alias("cluster_id"))

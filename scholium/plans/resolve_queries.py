@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholium.operators import layout, resolve, verdict
+from scholium.operators import layout, linkage, resolve, verdict
 from scholium.plans.catalog import query
 from scholium.plans.fuzzy_sql import scored
 from scholium.sources import readers, testdata as t
@@ -292,10 +292,26 @@ def _(spark, d):
     return layout.parser_consensus(spans, ["docling", "marker"])
 
 
-@query("v09_author_clusters", "SELECT s_suppkey AS record_id, min(s_suppkey) OVER (PARTITION BY s_nationkey, regexp_replace(lower(s_name), '\\d', '', 'g')) AS cluster_id FROM supplier".replace("\\\\", "\\"))
+@query("v09_author_clusters", f"""WITH RECURSIVE n AS (SELECT p_brand AS block, p_name AS k, min(p_partkey) AS node FROM part GROUP BY ALL),
+pairs AS (SELECT x.node AS u, y.node AS v, x.k AS a, y.k AS b FROM n x JOIN n y ON x.block = y.block AND x.k < y.k AND 200 * least(length(x.k), length(y.k)) >= 85 * (length(x.k) + length(y.k))),
+{scored("pairs", "u, v")},
+l AS (SELECT u, v FROM scored WHERE score >= 85 UNION ALL SELECT v, u FROM scored WHERE score >= 85),
+r AS (SELECT node AS x, node AS y FROM n UNION SELECT r.x, l.v FROM r JOIN l ON l.u = r.y),
+c AS (SELECT x, min(y) AS cluster_id FROM r GROUP BY 1)
+SELECT p_partkey AS record_id, cluster_id FROM part JOIN n ON block = p_brand AND k = p_name JOIN c ON x = node""")
 def _(spark, d):
-    s = t.table(spark, d, "supplier")
-    return resolve.clusters(s.select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").alias("block"), F.regexp_replace("s_name", r"\d", "").alias("name")))
+    """Parts of one brand whose names differ in little."""
+    p = t.table(spark, d, "part")
+    return resolve.clusters(p.select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("block"), F.col("p_name").alias("name")), threshold=85.0)
+
+
+@query("v09_author_linkage")
+def _(spark, d):
+    """Parts as mentions of authors: their suppliers as co-authors, the brand as affiliation, the type as venue."""
+    lines = t.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("coauthors"))
+    p = t.table(spark, d, "part").join(lines, "p_partkey", "left")
+    records = p.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("name"), "coauthors", F.col("p_brand").alias("affiliation"), F.col("p_type").alias("venue"))
+    return linkage.author_clusters(records)
 
 
 @query("v10_email_institutions", "SELECT c_custkey AS doc_id, (c_custkey % 25)::INT AS inst_id FROM customer WHERE c_custkey % 25 < 20")
