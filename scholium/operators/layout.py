@@ -12,6 +12,22 @@ BODY = r"(?i)^#+\s+(abstract|introduction|background|related\s+work)\s*$"
 ACKNOWLEDGEMENT = r"(?i)^(?:#+\s*)?(acknowledgements?|acknowledgments?)\s*$"
 STOP = r"(?i)^(references?|bibliography|appendix\b.*|conclusions?)\s*$"
 FOOTNOTE = r"^\s*[*†‡§¶\d¹²³⁴⁵⁶⁷⁸⁹⁰]+[.\s].+"
+#: Fixed values, by parser: where the body begins, and the confidences of header lines with and without #.
+HEADERS = {
+    "marker": (r"(?i)^#+\s+(abstract|introduction|background|related\s+work)\s*$", 0.90, 0.78),
+    "nougat": (r"^(\\section\{|#\s*\d+[\.\s])", 0.80, 0.80),
+}
+#: Fixed values, by parser: the heading of the acknowledgements, what ends them, and the confidence.
+ACKNOWLEDGEMENTS = {
+    "marker": (r"(?i)^#+\s*(acknowledgements?|acknowledgments?)\s*$", r"^#+\s", 0.82),
+    "nougat": (r"(?i)^#+\s*(acknowledgements?|acknowledgments?)\s*$", r"^#+\s", 0.80),
+    "pymupdf": (r"(?i)^(acknowledgements?|acknowledgments?)\s*$", r"(?i)^(references?|bibliography|appendix\b|conclusions?)\s*$", 0.75),
+}
+#: docling's heading of the acknowledgements, and the confidences of its regions.
+DOCLING_HEADING = r"(?i)\backnowledgements?\b|\backnowledgments?\b"
+DOCLING = {"acknowledgements": 0.88, "footnotes": 0.92, "title": 0.97, "header": 0.82}
+#: Fixed value: confidence of marker's footnotes.
+FOOTNOTE_CONFIDENCE = 0.65
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -71,3 +87,60 @@ def parser_consensus(spans: DataFrame, priority: list[str]) -> DataFrame:
 
 def disagreements(spans: DataFrame, region: str) -> DataFrame:
     return spans.filter(F.col("region") == region)
+
+
+def headers_by(docs: DataFrame, parser: str) -> DataFrame:
+    """(doc_id, pos, text, confidence) of the header lines as a parser of marked-up text takes them."""
+    body, marked, plain = HEADERS[parser]
+    if parser == "marker":
+        return header_lines(docs, body)
+    parts = docs.select("doc_id", F.split("text", "\n").alias("l"))
+    first = F.array_position(F.transform("l", lambda x: F.concat(x, F.lit("\n")).rlike(body)), F.lit(True))
+    head = F.when(first > 0, F.slice("l", 1, (first - 1).cast("int"))).otherwise(F.col("l"))
+    each = parts.select("doc_id", F.posexplode(head).alias("pos", "line")).withColumn("text", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    return each.filter("text <> ''").select("doc_id", "pos", "text", F.when(F.col("text").startswith("#"), marked).otherwise(plain).alias("confidence"))
+
+
+def footnotes(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, text, confidence) of marker's footnotes."""
+    return footnote_lines(docs).withColumn("confidence", F.lit(FOOTNOTE_CONFIDENCE))
+
+
+def acknowledgements_by(units: DataFrame, parser: str) -> DataFrame:
+    """(doc_id, pos, text, confidence) of the first acknowledgements in ``units(doc_id, pos, text)``.
+
+    Units are lines for marker and nougat, whose section is one text, and blocks for pymupdf, which stay apart. The
+    section runs from its heading to the first unit that ends it, or to the end.
+    """
+    heading, stop, confidence = ACKNOWLEDGEMENTS[parser]
+    whole = Window.partitionBy("doc_id")
+    core = F.regexp_replace("text", r"^\s+|\s+$", "") if parser == "pymupdf" else F.col("text")
+    marked = units.select("doc_id", "pos", "text", core.rlike(heading).alias("_ack"), core.rlike(stop).alias("_stop"))
+    marked = marked.withColumn("_from", F.min(F.when(F.col("_ack"), F.col("pos"))).over(whole)).filter("pos > _from")
+    marked = marked.withColumn("_to", F.min(F.when(F.col("_stop"), F.col("pos"))).over(whole)).filter("_to is null or pos < _to")
+    if parser == "pymupdf":
+        return marked.filter("not _ack and trim(text) <> ''").select("doc_id", "pos", "text", F.lit(confidence).alias("confidence"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    text = marked.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.regexp_replace(joined, r"^\s+|\s+$", "").alias("text"))
+    return text.filter("text <> ''").withColumn("confidence", F.lit(confidence))
+
+
+def docling_regions(items: DataFrame) -> DataFrame:
+    """(doc_id, pos, region, text, confidence) of ``items(doc_id, pos, page, label, text)`` as docling labels them.
+
+    After a section header of acknowledgements all belongs to these until the next section header. Else footnotes and
+    the title go by their label, and the first page's headers and text are header.
+    """
+    header = F.col("label") == "section_header"
+    ack = header & F.col("text").rlike(DOCLING_HEADING)
+    mark = F.when(ack, "ack").when(header, "end")
+    inside = F.last(mark, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos"))
+    first_page = (F.col("page") == 0) & F.col("label").isin("section_header", "text", "paragraph")
+    kind = (
+        F.when(ack, None).when(F.coalesce(F.col("_in") == "ack", F.lit(False)), "acknowledgements").when(F.col("label") == "footnote", "footnotes")
+        .when(F.col("label") == "title", "title").when(first_page, "header")
+    )
+    found = items.withColumn("_in", inside).withColumn("kind", kind).filter("kind is not null")
+    confidence = F.create_map(*(F.lit(x) for k, v in DOCLING.items() for x in (k, v)))
+    region = F.when(F.col("kind") == "title", "header").otherwise(F.col("kind"))
+    return found.select("doc_id", "pos", region.alias("region"), "text", F.element_at(confidence, F.col("kind")).alias("confidence"))

@@ -99,7 +99,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     names the classes, and every level keeps a little chance.
     """
     sizes = list(LEVELS.values())
-    levels = np.array([p for p, _ in patterns]).reshape(-1, len(sizes))
+    levels = np.array([p for p, _ in patterns], int).reshape(-1, len(sizes))
     counts = np.array([n for _, n in patterns], float)
     share = 0.1
     m = [np.linspace(0.2, 2, s) / np.linspace(0.2, 2, s).sum() for s in sizes]

@@ -379,6 +379,44 @@ def _(spark, d):
     return layout.acknowledgement_lines(_md(spark, d)).select("doc_id", "text")
 
 
+def _marked_up(spark, d):
+    parts = [F.concat(F.lit("# Title "), F.col("doc_id").cast("string")), F.lit("Ann Lee"), F.lit("# 1. Start"), F.col("text"), F.lit("## Acknowledgements"), F.lit(""), F.lit("We thank X."), F.lit("And Y."), F.lit("## References"), F.lit("[1] y")]
+    return t.table(spark, d, "documents").select("doc_id", F.concat_ws("\n", *parts).alias("text"))
+
+
+@query("c37_headers_by_parser", "SELECT doc_id, 'nougat' AS parser, '# Title ' || doc_id AS text, 0.8::DOUBLE AS confidence FROM documents UNION ALL SELECT doc_id, 'nougat', 'Ann Lee', 0.8 FROM documents UNION ALL SELECT doc_id, 'marker', 'Title ' || doc_id, 0.9 FROM documents UNION ALL SELECT doc_id, 'marker', 'Ann Lee', 0.78 FROM documents")
+def _(spark, d):
+    """Each parser on text with the headings it looks for."""
+    nougat = layout.headers_by(_marked_up(spark, d), "nougat").select("doc_id", F.lit("nougat").alias("parser"), "text", "confidence")
+    return nougat.union(layout.headers_by(_md(spark, d), "marker").select("doc_id", F.lit("marker"), "text", "confidence"))
+
+
+@query("c40_by_parser", "SELECT doc_id, p AS parser, 'We thank X.' || chr(10) || 'And Y.' AS text, c::DOUBLE AS confidence FROM documents, (VALUES ('marker', 0.82), ('nougat', 0.8)) x(p, c) UNION ALL SELECT doc_id, 'pymupdf', 'We thank X.', 0.75 FROM documents")
+def _(spark, d):
+    out = None
+    for parser in ("marker", "nougat", "pymupdf"):
+        units = layout.lines(_md(spark, d) if parser == "pymupdf" else _marked_up(spark, d)).withColumnRenamed("line", "text")
+        one = layout.acknowledgements_by(units, parser).select("doc_id", F.lit(parser).alias("parser"), "text", "confidence")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("c37_docling_regions", """WITH x AS (SELECT user_id AS doc_id, event_id AS pos, CASE event_type WHEN 'click' THEN 'section_header' WHEN 'view' THEN 'text' WHEN 'error' THEN 'title' ELSE 'footnote' END AS label,
+  CASE WHEN value < 25 THEN 'Acknowledgement' ELSE 'Results' END AS text, event_id // 2000 AS page FROM events),
+m AS (SELECT *, coalesce(last_value(CASE WHEN label = 'section_header' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) = 'Acknowledgement', false) AS ack FROM x)
+SELECT doc_id, pos, CASE WHEN ack THEN 'acknowledgements' WHEN label = 'footnote' THEN 'footnotes' ELSE 'header' END AS region, text,
+  CASE WHEN ack THEN 0.88 WHEN label = 'footnote' THEN 0.92 WHEN label = 'title' THEN 0.97 ELSE 0.82 END::DOUBLE AS confidence FROM m
+WHERE NOT (label = 'section_header' AND text = 'Acknowledgement') AND (ack OR label IN ('footnote', 'title') OR page = 0)""")
+def _(spark, d):
+    kind = F.col("event_type")
+    label = F.when(kind == "click", "section_header").when(kind == "view", "text").when(kind == "error", "title").otherwise("footnote")
+    items = t.table(spark, d, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.floor(F.col("event_id") / 2000).alias("page"), label.alias("label"),
+        F.when(F.col("value") < 25, "Acknowledgement").otherwise("Results").alias("text"),
+    )
+    return layout.docling_regions(items)
+
+
 @query("w07_sections", "SELECT doc_id, 1::BIGINT AS n FROM documents")
 def _(spark, d):
     return layout.acknowledgement_lines(_md(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
