@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholium.functions.fuzzy import jaro_winkler_of
 from scholium.functions.text import emails
 
 #: Headings and marks of the regions.
@@ -85,6 +89,65 @@ def parser_consensus(spans: DataFrame, priority: list[str]) -> DataFrame:
     return ranked.join(best, "doc_id").filter("place = best").drop("place", "best")
 
 
+def aligned(slots: list[list[tuple[str, str]]], texts: list[str], parser: str, alike: float) -> list[list[tuple[str, str]]]:
+    """The slots, lists of (parser, text), with one more parser's texts in order: those that match a slot join it, the
+    others stand between. Of all orderly matchings the one of the highest total similarity; earlier slots first."""
+    n, m = len(slots), len(texts)
+    near = [[0.0] * m for _ in range(n)]
+    for i, slot in enumerate(slots):
+        for j, text in enumerate(texts):
+            best = max(1.0 if text == t else jaro_winkler_of(t, text) or 0.0 for _, t in slot)
+            near[i][j] = best if best >= alike else 0.0
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            met = best[i + 1][j + 1] + near[i][j] if near[i][j] else 0.0
+            best[i][j] = max(met, best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and near[i][j] and best[i][j] == best[i + 1][j + 1] + near[i][j]:
+            out.append([*slots[i], (parser, texts[j])])
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or best[i][j] == best[i + 1][j]):
+            out.append(slots[i])
+            i += 1
+        else:
+            out.append([(parser, texts[j])])
+            j += 1
+    return out
+
+
+def consensus_by_vote(spans: DataFrame, priority: list[str], alike: float = 0.92) -> DataFrame:
+    """(doc_id, region, slot, text, votes) of what more than half of a document's parsers give, region by region.
+
+    ``spans`` is (doc_id, region, parser, pos, text). The parsers' spans of a region are aligned one parser after
+    another, by ``priority``; a slot's text is the one most parsers wrote so, of equal numbers the first parser's.
+    One row holds a region of one document.
+    """
+    place = F.array_position(F.array(*map(F.lit, priority)), F.col("parser"))
+    known = spans.withColumn("place", place).filter("place > 0 and text is not null")
+    present = known.groupBy("doc_id").agg(F.count_distinct("parser").alias("present"))
+    listed = known.groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(F.struct("place", "pos", "parser", "text"))).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, region, many, rows in zip(batch["doc_id"], batch["region"], batch["present"], batch["rows"]):
+                by: dict[str, list[str]] = {}
+                for r in rows:
+                    by.setdefault(r["parser"], []).append(r["text"])
+                slots: list[list[tuple[str, str]]] = []
+                for parser, texts in by.items():
+                    slots = aligned(slots, texts, parser, alike)
+                for n, slot in enumerate(s for s in slots if 2 * len(s) > many):
+                    texts = [t for _, t in slot]
+                    out.append((doc, region, n, max(texts, key=texts.count), len(slot)))
+            yield pd.DataFrame(out, columns=["doc_id", "region", "slot", "text", "votes"])
+
+    kind = spans.schema["doc_id"].dataType.simpleString()
+    return listed.join(present, "doc_id").select("doc_id", "region", "present", "rows").mapInPandas(run, f"doc_id {kind}, region string, slot int, text string, votes int")
+
+
 def disagreements(spans: DataFrame, region: str) -> DataFrame:
     return spans.filter(F.col("region") == region)
 

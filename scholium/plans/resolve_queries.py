@@ -292,6 +292,20 @@ def _(spark, d):
     return layout.parser_consensus(spans, ["docling", "marker"])
 
 
+@query("v08_parser_vote", """WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey, min(l_quantity) AS q, min(l_discount) AS d FROM lineitem GROUP BY ALL),
+n AS (SELECT doc_id, 1 + (min(q) < 25)::INT + (min(d) < 0.05)::INT AS present FROM l GROUP BY 1),
+v AS (SELECT doc_id, md5(doc_id || ':' || l_partkey) AS text, l_partkey, (1 + (q < 25)::INT + (d < 0.05)::INT)::INT AS votes FROM l)
+SELECT doc_id, text, votes FROM v JOIN n USING (doc_id) WHERE 2 * votes > present""")
+def _(spark, d):
+    """One parser gives every line of an order, the second those of few items, the third those of little discount."""
+    line = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("pos")).agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"))
+    text = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")))
+    spans = line.select("doc_id", F.lit("header").alias("region"), F.lit("docling").alias("parser"), "pos", text.alias("text"))
+    for parser, kept in (("marker", "q < 25"), ("nougat", "d < 0.05")):
+        spans = spans.union(line.filter(kept).select("doc_id", F.lit("header"), F.lit(parser), "pos", text))
+    return layout.consensus_by_vote(spans, ["docling", "marker", "nougat"]).select("doc_id", "text", "votes")
+
+
 @query("v09_author_clusters", f"""WITH RECURSIVE n AS (SELECT p_brand AS block, p_name AS k, min(p_partkey) AS node FROM part GROUP BY ALL),
 pairs AS (SELECT x.node AS u, y.node AS v, x.k AS a, y.k AS b FROM n x JOIN n y ON x.block = y.block AND x.k < y.k AND 200 * least(length(x.k), length(y.k)) >= 85 * (length(x.k) + length(y.k))),
 {scored("pairs", "u, v")},
