@@ -1,6 +1,7 @@
 """Searches of three paper services as a Spark data source: planned pages, pushed filters, and a stream of new results.
 
     spark.dataSource.register(PagedSearch)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for filters in the request
     spark.read.format("paper_search").options(service="openalex", url=..., query="graphs").load().filter("year >= 2020")
 
 Comparisons of ``year`` go into the request, as far as the service has words for them, and are checked again by
