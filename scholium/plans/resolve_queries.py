@@ -206,7 +206,7 @@ r AS (SELECT text, coalesce(e, p, near.best.c, text) AS canonical,
   CASE WHEN e IS NOT NULL OR p IS NOT NULL THEN 'kb' WHEN near.best IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS source FROM h LEFT JOIN near USING (text))"""
 
 
-def _names(spark, d):
+def _written(spark, d):
     """Names as written (exact, within others, in another order with slips, unknown) and the registry of their right forms."""
     p = t.table(spark, d, "part")
     name, k = F.concat("p_name", F.lit(" "), "p_type"), F.col("p_size") % 4
@@ -218,7 +218,7 @@ def _names(spark, d):
 
 @query("v05_normalise_cascade", f"WITH {_NAMES} SELECT text, canonical, confidence, source FROM r")
 def _(spark, d):
-    return resolve.lookup_tiers(*_names(spark, d))
+    return resolve.lookup_tiers(*_written(spark, d))
 
 
 @query("j17_exact_lookup", f"WITH {_TX} SELECT text, n_name AS canonical FROM tx JOIN nation ON lower(n_name) = lower(text)")
@@ -243,13 +243,13 @@ def _(spark, d):
 def _(spark, d):
     from scholium.operators.analytics import confidence_stats
 
-    s = confidence_stats(resolve.lookup_tiers(*_names(spark, d)), "text")
+    s = confidence_stats(resolve.lookup_tiers(*_written(spark, d)), "text")
     return s.select("source", "n", F.round("confidence", 9).alias("confidence"))
 
 
 @query("a51_batch_normalise", f"WITH {_NAMES}, o AS (SELECT CASE p_size % 4 WHEN 0 THEN p_name || ' ' || p_type WHEN 1 THEN 'Dept. of ' || p_name || ' ' || p_type WHEN 2 THEN p_type || ' ' || replace(p_name, 'l', '1') || ' ' || replace(p_brand, 'Brand#', '') ELSE p_brand END AS text FROM part) SELECT text, count(*)::BIGINT AS n, any_value(canonical) AS canonical, any_value(source) AS source FROM o JOIN r USING (text) GROUP BY 1")
 def _(spark, d):
-    texts, known = _names(spark, d)
+    texts, known = _written(spark, d)
     found = resolve.lookup_tiers(texts, known)
     return texts.groupBy("text").agg(F.count("*").alias("n")).join(found, "text").select("text", "n", "canonical", "source")
 
