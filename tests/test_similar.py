@@ -38,16 +38,16 @@ def test_few_pairs_of_like_length_are_compared(spark):
     word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 5)))
     words = [word() for _ in range(800)]
     name = lambda: " ".join(rnd.choice(words) for _ in range(3))[:22]
-    left, right = [name() for _ in range(4000)], [name() for _ in range(4000)]
-    for i in range(0, 4000, 10):  # some are one another's with typos
+    left, right = [name() for _ in range(2000)], [name() for _ in range(2000)]
+    for i in range(0, 2000, 10):  # some are one another's with typos
         t = list(left[i])
         t[rnd.randrange(len(t))] = "q"
         right[i] = "".join(t)
     a, b = (spark.createDataFrame([(" ".join(sorted(x.split())),) for x in xs], "s string") for xs in (left, right))
     pairs = similar.candidates(a, b, 80.0).collect()
-    assert len(pairs) < 0.02 * 4000 * 4000
+    assert len(pairs) < 0.02 * 2000 * 2000
     found = {(r["a"], r["b"]) for r in pairs}
-    for i in range(0, 4000, 10):
+    for i in range(0, 2000, 10):
         x, y = (" ".join(sorted(t[i].split())) for t in (left, right))
         assert token_sort(x, y) < 80 or (x, y) in found
 
