@@ -87,11 +87,13 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     )
     needed = (2 * q - 1) * F.col("l") + (q - 1) * (1 - F.col("m") - F.col("n")) - F.col("spare")
     counted = hits.groupBy("a", "b", "m", "n", "l", "spare").agg(F.count("*").alias("k"))
-    met = counted.filter(F.col("k") >= needed)
+    # pairs are small rows and dear to compare: spread over all cores, which their bytes would not do
+    met = counted.filter(F.col("k") >= needed).repartition(a.sparkSession.sparkContext.defaultParallelism)
     if q == 3:
         whole = [F.concat(F.lit(_START), c, F.lit(_END)) for c in ("a", "b")]
         twos = F.filter(F.sequence(F.lit(1), F.col("m") + 1), lambda i: F.contains(whole[1], F.substring(whole[0], i, F.lit(2))))
-        met = met.filter(F.size(twos) >= 3 * F.col("l") + 1 - F.col("m") - F.col("n"))
+        # asked of counted pairs only: without k in it, Spark would ask it of every hit
+        met = met.filter(F.when(F.col("k") >= needed, F.size(twos)).otherwise(-1) >= 3 * F.col("l") + 1 - F.col("m") - F.col("n"))
     return met.select("a", "b")
 
 
