@@ -12,9 +12,13 @@ from scholium.operators.state import upsert
 from scholium.sources import generations
 
 
-def write_report(flat: DataFrame, summary: DataFrame, folder: str, stamp: str) -> None:
-    """The flat rows as CSV and the report as JSON."""
-    flat.write.mode("overwrite").option("header", True).csv(f"{folder}/affiliations_{stamp}.csv")
+#: Rows of a CSV file; values may hold line ends, so that one task reads a whole file.
+FILE_ROWS = 1 << 20
+
+
+def write_report(flat: DataFrame, summary: DataFrame, folder: str, stamp: str, rows: int = FILE_ROWS) -> None:
+    """The flat rows as CSV, ``rows`` at most in a file, and the report as JSON."""
+    flat.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows).csv(f"{folder}/affiliations_{stamp}.csv")
     summary.write.mode("overwrite").json(f"{folder}/report_{stamp}.json")
 
 
