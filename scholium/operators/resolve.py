@@ -217,9 +217,13 @@ def first_source(rows: DataFrame, key: str, priority: str) -> DataFrame:
 
 
 def link_mentions(mentions: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
-    """(mention, kind, id): up to ``limit`` known names per mention and kind that contain it, in order of id."""
+    """(mention, kind, id): up to ``limit`` known names per mention and kind that contain it, in order of id.
+
+    Of equal names only the first ``limit`` can be among them, so no more are brought to the mentions.
+    """
     wanted = mentions.select("mention", "kind").distinct().withColumn("_inner", F.lower("mention"))
     known = names.select("kind", "id", F.lower("name").alias("_name"))
+    known = known.withColumn("_turn", F.row_number().over(Window.partitionBy("kind", "_name").orderBy("id"))).filter(F.col("_turn") <= limit).drop("_turn")
     hits = containing(known, wanted, "_name", "_inner", by=["kind"]).select("mention", "kind", "id")
     turn = Window.partitionBy("mention", "kind").orderBy("id")
     return hits.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= limit).select("mention", "kind", "id")

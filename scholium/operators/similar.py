@@ -129,7 +129,8 @@ def containing(holders: DataFrame, held: DataFrame, holder: str, inner: str, by:
 
     Every trigram of the inner text stands in its holders, so both meet by the one that fewest holders have, and inner
     texts with a trigram that no holder has meet none. With ``whole_words`` the parts are words. A beginning that all
-    names have in common is never the rarest part, unless it is the whole of the inner text.
+    names have in common is never the rarest part, unless it is the whole of the inner text. Texts meet once each,
+    whatever rows repeat them, and never as a broadcast: a text has many parts, which Spark's size estimate leaves out.
     """
     by = list(by)
     if whole_words:
@@ -137,9 +138,9 @@ def containing(holders: DataFrame, held: DataFrame, holder: str, inner: str, by:
         inside = F.contains(F.concat(F.lit(" "), holder, F.lit(" ")), F.concat(F.lit(" "), inner, F.lit(" ")))
     else:
         own, parts, inside = _stretches(holder), _trigrams(inner), F.contains(holder, F.col(inner))
-    spread = holders.withColumn("_part", F.explode(own))
-    often = holders.select(*by, holder).distinct().withColumn("_part", F.explode(own)).groupBy(*by, "_part").agg(F.count("*").alias("_df"))
+    spread = holders.select(*by, holder).distinct().withColumn("_part", F.explode(own)).hint("merge")
+    often = spread.groupBy(*by, "_part").agg(F.count("*").alias("_df")).hint("merge")
     wanted = held.select(*by, inner).distinct().withColumn("_n", F.size(parts)).withColumn("_part", F.explode(parts))
     rarest = wanted.join(often, [*by, "_part"]).groupBy(*by, inner, "_n").agg(F.count("*").alias("_k"), F.min_by("_part", F.struct("_df", "_part")).alias("_part"))
-    routed = held.join(rarest.filter("_k = _n").select(*by, inner, "_part"), [*by, inner])
-    return spread.join(routed, [*by, "_part"]).filter(inside).drop("_part")
+    met = spread.join(rarest.filter("_k = _n").select(*by, inner, "_part"), [*by, "_part"]).filter(inside).select(*by, holder, inner)
+    return holders.join(met, [*by, holder]).join(held, [*by, inner])
