@@ -298,7 +298,7 @@ v AS (SELECT doc_id, md5(doc_id || ':' || l_partkey) AS text, l_partkey, (1 + (q
 SELECT doc_id, text, votes FROM v JOIN n USING (doc_id) WHERE 2 * votes > present""")
 def _(spark, d):
     """One parser gives every line of an order, the second those of few items, the third those of little discount."""
-    line = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("pos")).agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"))
+    line = t.lines(spark, d).groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("pos")).agg(F.min("l_quantity").alias("q"), F.min("l_discount").alias("d"))
     text = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")))
     spans = line.select("doc_id", F.lit("header").alias("region"), F.lit("docling").alias("parser"), "pos", text.alias("text"))
     for parser, kept in (("marker", "q < 25"), ("nougat", "d < 0.05")):
