@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_graphnet import planted
 
 from scholium.operators import forecast, graphcells, graphnet
@@ -42,6 +43,17 @@ def test_the_query_draws_as_many_pairs_as_links(spark):
     assert found[0] == found[1]
 
 
+def test_what_moves_follows_the_nodes(spark):
+    """20,000 edges and as many pairs of 200 nodes: no table of an epoch has more rows than pairs of chunks."""
+    nodes = spark.range(200).select("id", F.array(F.col("id") % 2, F.lit(1)).cast("array<double>").alias("x"))
+    one = spark.range(20_000).selectExpr("id % 200 as a", "(id * 7 + id div 200) % 200 as b", "cast(2000 + id % 3 as int) as year").filter("a < b")
+    cells = graphcells.Cells(nodes, one.union(one.select("b", "a", "year")), [2000, 2001, 2002], 2, 2)
+    pairs = cells.pairs(one.selectExpr("year", "a", "b", "1 as label"))
+    sent = cells._sent(cells.states(graphnet.Network(2, 3, 2).start(1)), cells.homes)
+    assert max(df.count() for df in (cells.cells, cells.chunks, pairs, sent)) <= 2 * graphcells.CHUNKS**2
+    assert cells.chunks.rdd.map(lambda r: r["chunk"]).distinct().count() == graphcells.CHUNKS
+
+
 def test_negatives_of_each_year_by_their_own_number(spark):
     edges = spark.createDataFrame([(0, 1, 2000), (2, 3, 2001), (1, 9, 2002)], "a long, b long, year int")
     got = forecast.negatives(edges, spark.range(10), {2000: 3, 2001: 0, 2002: 1000}).groupBy("year").count().collect()
